@@ -1,0 +1 @@
+"""Holds no operators: every job of this library is a batch over data already on disk."""
