@@ -132,3 +132,21 @@ REL_FLOOR = 1e-12
 
 # Integrality of counts.
 INTEGER_TOLERANCE = 1e-6
+
+# The tuning grid of the boosted trees and the order grid of the regression.
+TREE_GRID = {
+    "maxDepth": [3, 4, 5],
+    "maxIter": [100, 300],
+    "stepSize": [0.01, 0.05, 0.1],
+    "minInstancesPerNode": [3, 5, 10],
+}
+AR_ORDERS = [0, 1, 2]
+DIFFERENCES = [0, 1]
+SEASON = 7
+ARX_REGRESSORS = [
+    "feat_is_weekend",
+    "feat_is_bridge_day",
+    "feat_holiday_type_festivo_nacional",
+    "feat_holiday_type_festivo_de_la_comunidad_de_madrid",
+    "feat_holiday_type_festivo_local_de_la_ciudad_de_madrid",
+]

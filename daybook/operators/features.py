@@ -170,15 +170,20 @@ def feature_report(features: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def sequence_windows(df: DataFrame, width: int = SEQUENCE_WINDOW, column: str = "total") -> DataFrame:
-    """For each row with full history: the ``width`` values before it, its own value, its position."""
+def sequence_windows(
+    df: DataFrame, width: int = SEQUENCE_WINDOW, column: str = "total", keep_short: bool = False
+) -> DataFrame:
+    """The ``width`` values before each row as an array, and the row's position in its series.
+
+    Rows without full history are left out unless ``keep_short`` is set.
+    """
     w = by_series()
     rows = df.select(
         *df.columns,
         F.collect_list(column).over(w.rowsBetween(-width, -1)).alias("history"),
         (F.row_number().over(w) - 1).cast("long").alias("pos"),
     )
-    return rows.where(F.size("history") == width)
+    return rows if keep_short else rows.where(F.size("history") == width)
 
 
 def usable_positions(panel: DataFrame, width: int = SEQUENCE_WINDOW) -> DataFrame:
