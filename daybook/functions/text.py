@@ -23,7 +23,7 @@ def slug(label: str) -> str:
 def slug_column(column: str | Column) -> Column:
     """Lower-case a label, strip its accents and join its words with underscores."""
     plain = F.translate(F.lower(column), ACCENTED, PLAIN)
-    return F.trim(F.lit("_"), F.regexp_replace(plain, "[^a-z0-9]+", "_"))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def feature_group(name: str | Column, parts: list[str], exog: list[str]) -> Column:

@@ -62,13 +62,17 @@ def residual_summary(rows: DataFrame) -> DataFrame:
     """
     bridge = F.col("feat_is_bridge_day") == 1
     kind = F.when(bridge, "laborable, bridge day").otherwise("laborable, ordinary")
+    groupings = {
+        "day_type": F.col("day_type"),
+        "bridge_day": F.when(bridge, "bridge day (puente)").otherwise("not bridge day"),
+        "holiday_type": holiday_label(),
+        "laborable_subset": F.when(F.col("day_type") == "laborable", kind),
+    }
     labels = F.array(
-        F.struct(F.lit("day_type").alias("dimension"), F.col("day_type").alias("group")),
-        F.struct(
-            F.lit("bridge_day"), F.when(bridge, "bridge day (puente)").otherwise("not bridge day")
-        ),
-        F.struct(F.lit("holiday_type"), holiday_label()),
-        F.struct(F.lit("laborable_subset"), F.when(F.col("day_type") == "laborable", kind)),
+        *[
+            F.struct(F.lit(name).alias("dimension"), label.alias("group"))
+            for name, label in groupings.items()
+        ]
     )
     spread = with_residual(rows).withColumn("g", F.explode(labels)).where("g.group is not null")
     return spread.groupBy("series_id", "g.dimension", "g.group").agg(
