@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ from daybook.operators.guards import require_empty
 from daybook.operators.panel import KEYS
 from daybook.operators.scaling import minmax_fit
 from daybook.operators.splits import assign_folds, fold_clean_guard
-from daybook.session import materialise
+from daybook.session import concurrently, materialise
 
 
 def _width() -> Column:
@@ -32,11 +31,10 @@ def scaled_windows(rows: DataFrame, scaler: DataFrame, exog: list[str] = []) ->
     joined = rows.join(scaler, "series_id")
     low, width = F.col("total_min"), _width()
     window = F.transform("history", lambda v: (v.cast("double") - low) / width)
-    scaled = joined.withColumns(
-        {"window": array_to_vector(window), "label": (F.col("total") - low) / width}
+    inputs = F.concat(window, F.array(*[F.col(c).cast("double") for c in exog])) if exog else window
+    return joined.withColumns(
+        {"features": array_to_vector(inputs), "label": (F.col("total") - low) / width}
     )
-    inputs = ["window", *exog]
-    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error").transform(scaled)
 
 
 def fit_linear(training: DataFrame, elastic_net: float = 0.0, reg: float = 0.0) -> LinearRegressionModel:
@@ -81,12 +79,15 @@ def oof_predictions(
     usable = rows.where(F.size("history") == width)
     require_empty(fold_clean_guard(rows).where("not is_clean"), "fold trained on later days")
     blocks = [rows.where("not has_oof").withColumn("y_pred_oof", F.lit(None).cast("double"))]
-    for fold in range(1, n_folds + 1):
+
+    def held_out(fold: int) -> DataFrame:
         train = usable.where(F.col("fold") < fold)
         scaler = minmax_fit(train, ["total"])
         model = fit_linear(scaled_windows(train, scaler))
         block = scaled_windows(usable.where(F.col("fold") == fold), scaler)
-        blocks.append(predict_linear(model, block, "y_pred_oof"))
+        return predict_linear(model, block, "y_pred_oof")
+
+    blocks += concurrently(held_out, range(1, n_folds + 1))
     columns = [*KEYS, "total", "pos", *flags, "y_pred_oof"]
     stacked = reduce(DataFrame.unionByName, [b.select(*columns) for b in blocks])
     return stacked.withColumnRenamed("total", "y_true")

@@ -6,6 +6,7 @@ The loops run over settings, never over data; every fit and every score is a Spa
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from daybook.functions.scoring import mae, metric_columns
 from daybook.models.linear import stage1_window
 from daybook.models.trees import chrono_grid_search, fit_trees, predict_trees
 from daybook.operators.splits import train_rows_tail
+from daybook.session import concurrently
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -32,12 +34,13 @@ def health_columns() -> list[Column]:
 def window_comparison(rows: DataFrame, windows: list[int]) -> DataFrame:
     """Validation metrics of stage 1 per window length; test rows are never read."""
     seen = rows.where("split in ('train', 'val')")
-    runs = []
-    for width in windows:
+
+    def run(width: int) -> DataFrame:
         _, predicted = stage1_window(seen, width)
         scored = predicted.where("split = 'val'").agg(*metric_columns())
-        runs.append(scored.select(F.lit(width).cast("long").alias("window"), "*"))
-    return _stack(runs)
+        return scored.select(F.lit(width).cast("long").alias("window"), "*")
+
+    return _stack(concurrently(run, windows))
 
 
 def learning_curve(
@@ -48,20 +51,22 @@ def learning_curve(
     ``vectors`` is a stored table of pooled rows; the seed drives the row subsampling.
     """
     validation = vectors.where("split = 'val'")
-    runs = []
-    for fraction in fractions:
+
+    def run(setting: tuple[float, int]) -> DataFrame:
+        fraction, seed = setting
         rows = n_train if fraction >= 1 else round(fraction * n_train)
         training = train_rows_tail(vectors.where("split = 'train'"), rows)
-        for seed in seeds:
-            model = fit_trees(training, names, params, seed=seed, subsampling=0.8)
-            scored = predict_trees(model, validation).agg(*metric_columns(), *health_columns())
-            setting = [
-                F.lit(fraction).alias("fraction"),
-                F.lit(rows).cast("long").alias("train_rows"),
-                F.lit(seed).cast("long").alias("seed"),
-            ]
-            runs.append(scored.select(*setting, F.col("MAE").alias("val_MAE"), "RMSE", "MAPE", "R2", "pred_std_ratio", "pred_actual_corr", "degenerate"))
-    return _stack(runs)
+        model = fit_trees(training, names, params, seed=seed, subsampling=0.8)
+        scored = predict_trees(model, validation).agg(*metric_columns(), *health_columns())
+        return scored.select(
+            F.lit(fraction).alias("fraction"),
+            F.lit(rows).cast("long").alias("train_rows"),
+            F.lit(seed).cast("long").alias("seed"),
+            F.col("MAE").alias("val_MAE"),
+            *["RMSE", "MAPE", "R2", "pred_std_ratio", "pred_actual_corr", "degenerate"],
+        )
+
+    return _stack(concurrently(run, product(fractions, seeds)))
 
 
 def parity_control(
@@ -70,27 +75,22 @@ def parity_control(
     """Stage 1 with the features of the forecast day, and the share of the gap it closes."""
     seen = rows.where("split in ('train', 'val')")
     gap = univariate - reference
-    runs = []
-    for scope, names in scopes.items():
-        for width in windows:
-            _, predicted = stage1_window(seen, width, names)
-            scored = predicted.where("split = 'val'").agg(*metric_columns(), *health_columns())
-            closed = F.try_divide(F.lit(100.0) * (F.lit(univariate) - F.col("MAE")), F.lit(gap))
-            runs.append(
-                scored.select(
-                    F.lit(scope).alias("scope"),
-                    F.lit(len(names)).cast("long").alias("n_exog"),
-                    F.lit(width).cast("long").alias("window"),
-                    F.col("MAE").alias("val_MAE"),
-                    "RMSE",
-                    "R2",
-                    "pred_std_ratio",
-                    "pred_actual_corr",
-                    "degenerate",
-                    closed.alias("gap_closed_pct"),
-                )
-            )
-    return _stack(runs)
+
+    def run(setting: tuple[str, int]) -> DataFrame:
+        scope, width = setting
+        _, predicted = stage1_window(seen, width, scopes[scope])
+        scored = predicted.where("split = 'val'").agg(*metric_columns(), *health_columns())
+        closed = F.try_divide(F.lit(100.0) * (F.lit(univariate) - F.col("MAE")), F.lit(gap))
+        return scored.select(
+            F.lit(scope).alias("scope"),
+            F.lit(len(scopes[scope])).cast("long").alias("n_exog"),
+            F.lit(width).cast("long").alias("window"),
+            F.col("MAE").alias("val_MAE"),
+            *["RMSE", "R2", "pred_std_ratio", "pred_actual_corr", "degenerate"],
+            closed.alias("gap_closed_pct"),
+        )
+
+    return _stack(concurrently(run, product(scopes, windows)))
 
 
 def block_ablation(
@@ -101,16 +101,21 @@ def block_ablation(
     ``groups`` maps each feature to its block; ``vectors`` is a stored table of pooled rows.
     """
     training = vectors.where("split = 'train'")
-    runs = []
-    for subset, blocks in subsets.items():
+
+    def run(setting: tuple[str, list[str]]) -> DataFrame:
+        subset, blocks = setting
         names = [c for c, group in groups.items() if group in blocks]
-        best, board = chrono_grid_search(training, names, candidates, seed=seed)
-        model = fit_trees(training, names, best, seed=seed)
-        scored = predict_trees(model, vectors.where("split <> 'train'")).groupBy("split").agg(*metric_columns())
-        tags = [F.lit(subset).alias("subset"), F.lit(len(names)).cast("long").alias("n_features"), F.lit(",".join(blocks)).alias("blocks")]
-        params = [F.lit(float(v)).alias(k) for k, v in best.items()]
-        runs.append(scored.select(*tags, *params, "split", "n", "MAE", "RMSE", "MAPE", "R2"))
-    return _stack(runs)
+        best, _ = chrono_grid_search(training, names, candidates, seed=seed)
+        predicted = predict_trees(fit_trees(training, names, best, seed=seed), vectors.where("split <> 'train'"))
+        return predicted.groupBy("split").agg(*metric_columns()).select(
+            F.lit(subset).alias("subset"),
+            F.lit(len(names)).cast("long").alias("n_features"),
+            F.lit(",".join(blocks)).alias("blocks"),
+            *[F.lit(float(v)).alias(k) for k, v in best.items()],
+            *["split", "n", "MAE", "RMSE", "MAPE", "R2"],
+        )
+
+    return _stack(concurrently(run, subsets.items()))
 
 
 def validation_mae(predicted: DataFrame) -> float:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -15,42 +14,43 @@ from pyspark.sql import functions as F
 from daybook.constants import IRREGULAR_WEIGHT, PREFIX, SEED, TREE_GRID
 from daybook.functions import scoring
 from daybook.operators.panel import KEYS
-from daybook.operators.scaling import minmax_fit, minmax_transform
+from daybook.operators.scaling import minmax_fit
 from daybook.operators.splits import internal_holdout
-from daybook.session import shared_folder
+from daybook.session import concurrently, shared_folder
 
-CONCURRENT_FITS = 3
 
+def history_sources(names: list[str], values: list[str]) -> dict[str, str]:
+    """Features in the units of a series, each with the value column it is made from."""
+    return {f: c for f in names for c in values if f.startswith(f"{PREFIX}{c}_")}
 
-def history_names(names: list[str], parts: list[str]) -> list[str]:
-    """Features in the units of the series, which are scaled per series before pooling."""
-    stems = tuple(f"{PREFIX}{c}_" for c in ["total", *parts])
-    return [c for c in names if c.startswith(stems)]
 
-
-def pooled_rows(rows: DataFrame, names: list[str], parts: list[str], label: str = "total") -> DataFrame:
+def pooled_rows(rows: DataFrame, names: list[str], values: list[str], label: str = "total") -> DataFrame:
     """Labelled rows with target and history features in the training range of their series.
 
-    The scale of the target stays beside the row so that predictions can be brought back.
+    The ranges are those of the value columns themselves, so fitting them does not compute any
+    feature. A deviation has no origin and is only divided by the range. The scale of the
+    target stays beside the row so that predictions can be brought back.
     """
-    history = history_names(names, parts)
-    columns = list(dict.fromkeys([label, *history]))
-    scaler = minmax_fit(rows.where("split = 'train'"), columns)
-    scaled = minmax_transform(rows, scaler, columns)
-    target = scaler.select(
-        "series_id", F.col(f"{label}_min").alias("y_low"), (F.col(f"{label}_max") - F.col(f"{label}_min")).alias("y_width")
-    ).withColumn("y_width", F.when(F.col("y_width") == 0, 1.0).otherwise(F.col("y_width")))
-    joined = scaled.join(target, "series_id")
-    kept = [c for c in names if c not in history]
+    sources = history_sources(names, values)
+    scaler = minmax_fit(rows.where("split = 'train'"), values)
+    joined = rows.join(scaler, "series_id")
+
+    def width(c: str) -> Column:
+        span = F.col(f"{c}_max") - F.col(f"{c}_min")
+        return F.when(span == 0, F.lit(1.0)).otherwise(span)
+
+    def scaled(feature: str, c: str) -> Column:
+        origin = F.lit(0.0) if "_roll_std_" in feature else F.col(f"{c}_min")
+        return ((F.col(feature) - origin) / width(c)).alias(feature)
+
     return joined.select(
         *KEYS,
         "split",
         F.col(label).cast("double").alias("y_true"),
-        F.col(f"{label}_scaled").alias("label"),
-        "y_low",
-        "y_width",
-        *[F.col(f"{c}_scaled").alias(c) for c in history],
-        *kept,
+        scaled(label, label).alias("label"),
+        F.col(f"{label}_min").alias("y_low"),
+        width(label).alias("y_width"),
+        *[scaled(f, sources[f]) if f in sources else F.col(f) for f in names],
     )
 
 
@@ -109,9 +109,7 @@ def chrono_grid_search(
         tagged = [F.lit(float(v)).alias(k) for k, v in params.items()]
         return errors.select(F.lit(i).cast("long").alias("candidate"), *tagged, "holdout_mae", "holdout_rmse")
 
-    with ThreadPool(CONCURRENT_FITS) as pool:
-        scored = pool.map(score, list(enumerate(candidates)))
-    board = reduce(DataFrame.unionByName, scored)
+    board = reduce(DataFrame.unionByName, concurrently(score, enumerate(candidates)))
     best = board.orderBy("holdout_mae", *candidates[0], "candidate").first()
     return candidates[best["candidate"]], board
 

@@ -134,9 +134,13 @@ def period7_ratio(ws: Workspace) -> DataFrame:
 
 
 def exog_rows(ws: Workspace) -> DataFrame:
-    """Residual rows with exogenous features and annual terms of their day."""
+    """Residual rows with exogenous features and annual terms of their day.
+
+    The terms are rounded, so that equal phases of the year tie in the ranks.
+    """
     with_exog = P.attach_calendar(ws.stage1_like, features.exog_features(ws.exog, T.EXOG), ws.span)
-    return ws.with_days(with_exog, ANNUAL_TERMS)
+    rows_ = ws.with_days(with_exog, ANNUAL_TERMS)
+    return rows_.withColumns({c: F.round(c, 9) for c in ANNUAL_TERMS})
 
 
 def _partial_sql() -> str:
@@ -151,7 +155,7 @@ def _partial_sql() -> str:
         )
 
     own = [rank("residual", "series_id") + " AS y"]
-    own += [rank(c, "series_id") + f" AS c{i}" for i, c in enumerate(ANNUAL_TERMS)]
+    own += [rank(f"round({c}, 9)", "series_id") + f" AS c{i}" for i, c in enumerate(ANNUAL_TERMS)]
     out = f""", ranked AS (SELECT r.series_id, r.date, {rows(*own)}
         FROM resid r JOIN days d ON d.date = r.date),
         long AS (SELECT date, feature, value FROM (UNPIVOT (SELECT date, {rows(*EXOG_FEATURES)} FROM exog_features)

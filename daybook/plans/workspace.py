@@ -31,6 +31,17 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+_open: dict[tuple[str, str], "Workspace"] = {}
+
+
+def workspace(spark: SparkSession, sf_dir: str) -> "Workspace":
+    """The workspace of a session and folder, so that queries share its stored stages."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _open:
+        _open[key] = Workspace(spark, sf_dir)
+    return _open[key]
+
+
 class Workspace:
     """One run of the panel analysis over the tables of a folder."""
 
@@ -185,13 +196,13 @@ class Workspace:
     @cached_property
     def pooled(self) -> DataFrame:
         """Stored training vectors of the tree learners."""
-        rows = trees.pooled_rows(self.labelled, self.feature_names, T.PARTS)
+        rows = trees.pooled_rows(self.labelled, self.feature_names, T.VALUES)
         return materialise(rows, "pooled")
 
     @cached_property
     def stage1(self) -> DataFrame:
         rows = splits.eval_frame(self.panel.select(*KEYS, "total"), self.bounds)
-        return linear.stage1_window(rows)[1]
+        return materialise(linear.stage1_window(rows)[1], "stage1")
 
     @cached_property
     def oof(self) -> DataFrame:

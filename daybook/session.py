@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when its row bound is at most this many rows (110 years of days).
 BROADCAST_ROW_LIMIT = 40_000
+# Independent fits that may share the cluster at one time.
+CONCURRENT_FITS = 4
 
 _local_folders: dict[str, str] = {}
 
@@ -69,3 +73,9 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     Beyond the limit the frame is returned as it is and the join shuffles both sides.
     """
     return F.broadcast(df) if max_rows <= BROADCAST_ROW_LIMIT else df
+
+
+def concurrently(task: Callable, settings: Iterable) -> list:
+    """Run independent fits a few at a time from driver threads; the work is on the executors."""
+    with ThreadPool(CONCURRENT_FITS) as pool:
+        return pool.map(task, list(settings), chunksize=1)
