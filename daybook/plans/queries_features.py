@@ -179,38 +179,34 @@ def slugify(ws: Workspace) -> DataFrame:
     return labels.select("label", slug_column("label").alias("slug"))
 
 
-FEATURE_SUMS = " UNION ALL ".join(
-    f"SELECT series_id, '{c}' AS feature, count({c}) AS n, {R(f'sum({c})', 4)} AS plain, "
-    f"{R(f'sum({c} * (date_part({chr(39)}day{chr(39)}, date)))', 4)} AS by_day FROM features GROUP BY series_id"
+def _digits(feature: str) -> int:
+    """Digits to compare an average to; prices are ten thousand times the size of the rest."""
+    return 3 if "price" in feature else 6
+
+
+FEATURE_MEANS = " UNION ALL ".join(
+    f"SELECT series_id, '{c}' AS feature, count({c}) AS n, {R(f'avg({c})', _digits(c))} AS plain, "
+    f"{R(f'avg({c} * day(date))', _digits(c))} AS by_day FROM features GROUP BY series_id"
     for c in ALL_FEATURES
 )
 
 
-@query("build_features", twin(FEATURE_SUMS, "features"))
+@query("build_features", twin(FEATURE_MEANS, "features"))
 def build_features(ws: Workspace) -> DataFrame:
-    """The whole feature table, compared through sums per series and feature."""
+    """The whole feature table, compared through means per series and feature."""
     day = F.dayofmonth("date")
     wide = ws.features.groupBy("series_id").agg(
         *[
             F.struct(
+                F.lit(c).alias("feature"),
                 F.count(c).alias("n"),
-                F.sum(F.col(c).cast("double")).alias("plain"),
-                F.sum(F.col(c).cast("double") * day).alias("by_day"),
+                F.round(F.avg(c), _digits(c)).alias("plain"),
+                F.round(F.avg(F.col(c) * day), _digits(c)).alias("by_day"),
             ).alias(c)
             for c in ALL_FEATURES
         ]
     )
-    entries = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.col(c)["n"].alias("n"),
-            F.col(c)["plain"].alias("plain"),
-            F.col(c)["by_day"].alias("by_day"),
-        )
-        for c in ALL_FEATURES
-    ]
-    long = wide.select("series_id", F.explode(F.array(*entries)).alias("r"))
-    return rounded(long.select("series_id", "r.*"), 4)
+    return wide.select("series_id", F.explode(F.array(*ALL_FEATURES)).alias("r")).select("series_id", "r.*")
 
 
 def feature_list(ws: Workspace) -> DataFrame:
