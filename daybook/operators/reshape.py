@@ -13,6 +13,7 @@ from daybook.operators.features import melt
 from daybook.operators.guards import duplicate_keys, require_empty
 from daybook.operators.panel import KEYS
 from daybook.operators.scores import METRICS, lookup
+from daybook.session import small_side
 
 TIDY = [*KEYS, "split", "model", "y_true", "y_pred"]
 
@@ -55,13 +56,18 @@ def assemble_wide(tidy: DataFrame, models: list[str]) -> DataFrame:
     return tidy.groupBy(*KEYS, "split").agg(F.max("y_true").alias("y_true"), *columns)
 
 
-def eval_matrix(tidy: DataFrame, splits: list[str]) -> DataFrame:
-    """Predictions of a scope by the models that cover every one of its keys."""
+def eval_matrix(tidy: DataFrame, splits: list[str], models: list[str]) -> DataFrame:
+    """Predictions of a scope by those of the listed models that cover every one of its keys.
+
+    The semi-join's other side has at most one row per listed model.
+    """
     scope = tidy.where(F.col("split").isin(splits))
-    keys = scope.groupBy(*KEYS).agg(F.lit(1).alias("one")).agg(F.count("*").alias("n_keys"))
-    covered = scope.groupBy("model").agg(F.count("y_pred").alias("n_pred"))
-    complete = covered.join(keys, F.col("n_pred") == F.col("n_keys"), "left_semi").select("model")
-    return scope.join(complete, "model", "left_semi").select(*TIDY)
+    per_key = scope.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    keys = per_key.agg(F.count("*").alias("n_keys"))
+    listed = scope.where(F.col("model").isin(models))
+    covered = listed.groupBy("model").agg(F.count("y_pred").alias("n_pred"))
+    complete = covered.where(F.col("n_pred") == keys.scalar()).select("model")
+    return listed.join(small_side(complete, len(models)), "model", "left_semi").select(*TIDY)
 
 
 def dedupe_first(frames: list[DataFrame], keys: list[str]) -> DataFrame:

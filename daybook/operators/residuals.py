@@ -188,15 +188,24 @@ def weekday_distribution(panel: DataFrame, column: str = "total") -> DataFrame:
     return boxes.withColumns(named).drop("q")
 
 
-def residual_histogram(predictions: DataFrame, by: list[str], bins: int = 40) -> DataFrame:
-    """Rows per equal-width bin between the smallest and the largest residual of a group."""
-    rows = with_residual(predictions).where("residual is not null").select(*by, "residual")
+def residual_histogram(
+    predictions: DataFrame, by: list[str], bins: int = 40, salts: int = 32
+) -> DataFrame:
+    """Rows per equal-width bin between the smallest and the largest residual of a group.
+
+    The groups are few and large, so the join with their ranges is salted: the small side is
+    repeated per salt, and no task gets a whole group.
+    """
+    salt = F.pmod(F.xxhash64(*predictions.columns), F.lit(salts)).alias("_salt")
+    rows = with_residual(predictions).where("residual is not null").select(*by, "residual", salt)
     ranges = rows.groupBy(*by).agg(F.min("residual").alias("low"), F.max("residual").alias("high"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt")
+    joined = rows.join(ranges.select("*", every), [*by, "_salt"])
     width = (F.col("high") - F.col("low")) / bins
     place = F.coalesce(
         F.floor(F.try_divide(F.col("residual") - F.col("low"), width)), F.lit(0)
     )
-    binned = rows.join(ranges, by).withColumn("bin", F.least(F.lit(bins), place + 1).cast("long"))
+    binned = joined.withColumn("bin", F.least(F.lit(bins), place + 1).cast("long"))
     return binned.groupBy(*by, "bin", "low", "high").agg(F.count("*").alias("n"))
 
 

@@ -108,6 +108,16 @@ def day_type_breakdown(predictions: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def wide_day_type_breakdown(
+    wide: DataFrame, models: list[str], by: list[str], y: str = "total"
+) -> DataFrame:
+    """The same breakdown of several models at once, without a row per model."""
+    spread = wide.withColumn("group", F.explode(day_groups()))
+    scored = wide_metrics(spread, models, [*by, "group"], y)
+    kept = scored.select(*by, "model", "group", "n", "MAE", "MAPE").where("n > 0")
+    return kept.withColumn("small_sample", F.col("n") < SMALL_SAMPLE)
+
+
 def breakdown_wide(breakdown: DataFrame, models: list[str]) -> DataFrame:
     """Group by model matrix with one n; the explicit model list avoids a pass to find it."""
     matrix = (

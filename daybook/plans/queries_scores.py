@@ -195,8 +195,8 @@ _GROUPS = """, spread AS (SELECT *, unnest(list_filter([day_type, CASE WHEN day_
 
 
 def breakdown(ws: Workspace) -> DataFrame:
-    days = ws.with_days(ws.tidy, ["day_type", "feat_is_bridge_day"])
-    return scores.day_type_breakdown(days, ["split", "model"])
+    days = ws.with_days(ws.wide, ["day_type", "feat_is_bridge_day"])
+    return scores.wide_day_type_breakdown(days, T.MODELS, ["split"])
 
 
 @query(
@@ -661,7 +661,8 @@ def eval_matrix(ws: Workspace) -> DataFrame:
     """One model covers every test day, the other only active ones and is left out."""
     tidy = ws.tidy_of("persistence", "seasonal_naive")
     active = tidy.where("model = 'persistence'").join(ws.sparse.select(*KEYS), KEYS, "left_semi")
-    return reshape.eval_matrix(tidy.where("model <> 'persistence'").unionByName(active), ["test"])
+    both = tidy.where("model <> 'persistence'").unionByName(active)
+    return reshape.eval_matrix(both, ["test"], T.MODELS)
 
 
 @query(

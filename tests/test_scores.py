@@ -137,7 +137,7 @@ def test_prediction_guards(spark):
     with pytest.raises(ValueError, match="repeated"):
         reshape.check_predictions(good.unionByName(good))
     partial = tidy(spark, [(1.0, 1.0)], model="short")
-    kept = reshape.eval_matrix(good.unionByName(partial), ["test"])
+    kept = reshape.eval_matrix(good.unionByName(partial), ["test"], ["m", "short"])
     assert {r["model"] for r in kept.collect()} == {"m"}
     first = reshape.dedupe_first([good, good.withColumn("y_pred", F.lit(9.0))], ["series_id", "date", "model"])
     assert sorted(r["y_pred"] for r in first.collect()) == [1.0, 2.0]
