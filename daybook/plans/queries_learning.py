@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daybook.constants import DEGENERATE_MIN
 from daybook.functions.calendar import calendar_names, fourier_names
 from daybook.functions.text import feature_group
-from daybook.models import arx, linear, studies, trees
+from daybook.models import arx, studies, trees
 from daybook.operators import features, reshape, scores, splits, verdicts
 from daybook.operators.panel import KEYS
 from daybook.plans import tables as T
@@ -41,7 +41,7 @@ def seasonal_arx(ws: Workspace) -> DataFrame:
 @query("order_search")
 def order_search(ws: Workspace) -> DataFrame:
     """AIC of every candidate order of every series."""
-    days = features.calendar_features(ws.calendar).withColumn("calendar_id", F.lit("madrid"))
+    days = features.calendar_features(ws.calendar).withColumn("calendar_id", F.lit("default"))
     design = arx.design_rows(ws.panel.select(*KEYS, "total"), days, ws.span)
     training = splits.training_split(design, ws.bounds)
     return rounded(arx.candidate_orders(training).drop("beta"), 3)

@@ -143,7 +143,7 @@ def calendar(spark: SparkSession, span: Span) -> DataFrame:
         .otherwise("laborable")
     )
     return joined.select(
-        F.lit("madrid").alias("calendar_id"),
+        F.lit("default").alias("calendar_id"),
         "date",
         weekday_es().alias("weekday_es"),
         day_type.alias("day_type"),

@@ -232,6 +232,6 @@ class Workspace:
 
     @cached_property
     def arx(self) -> tuple[DataFrame, DataFrame]:
-        days = features.calendar_features(self.calendar).withColumn("calendar_id", F.lit("madrid"))
+        days = features.calendar_features(self.calendar).withColumn("calendar_id", F.lit("default"))
         panel = self.panel.select(*KEYS, "total")
         return arx.seasonal_arx(panel, days, self.span, self.bounds)
