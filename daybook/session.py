@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
@@ -19,7 +18,6 @@ CONCURRENT_FITS = 4
 # width of the feature table, which then runs about three times slower.
 CODEGEN_FIELDS = 400
 
-_local_folders: dict[str, str] = {}
 
 
 def build_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -51,17 +49,10 @@ def allow_wide_stages(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a temporary folder once.
+    Where the setting is missing it is a folder of the warehouse, which executors share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="daybook-")
-    return _local_folders[context.applicationId]
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
