@@ -64,7 +64,7 @@ def _planes(block: np.ndarray) -> np.ndarray:
     padded = np.zeros(-(-len(block) // 64) * 64, np.uint64)
     padded[: len(block)] = block
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def _within(queries: np.ndarray, planes: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
