@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from daybook.llm import brown, decontaminate, language, line_dedup, mixing, simhash, toxicity, vector_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -92,3 +92,47 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(documents, benchmark).select("doc_id", "item_id", "similarity", "start")
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n; a null doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query("op4_brown")
+def _brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model, counts = brown.fit(documents.where(remainder(10) != 0).select("text"))
+    marked = documents.select("doc_id", (remainder(10) == 0).alias("held_out"), "text")
+    scored = brown.score(marked, model, counts)
+    order = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long")).select(*order)
+
+
+@query("op5_language")
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    learned = documents.where((remainder(4) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    model = language.fit(learned.select("text", "lang"))
+    marked = documents.select("doc_id", (remainder(4) == 2).alias("held_out"), "text")
+    return language.predict(marked, model)
+
+
+TOP_SQL = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM ints q JOIN ints c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op8_vector_file", TOP_SQL)
+def _vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vector_file.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return vector_file.search(vectors, vectors.where("vec_id % 100 = 0"))
