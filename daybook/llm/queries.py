@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import brown, decontaminate, language, line_dedup, mixing, simhash, toxicity, vector_file
+from daybook.llm import brown, decontaminate, language, line_dedup, mixing, recompression, simhash, toxicity, vector_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -136,3 +136,28 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 def _vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vector_file.integer_vectors(table(spark, sf_dir, "embeddings"))
     return vector_file.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+REPEAT_SQL = rf"""
+WITH split AS (SELECT doc_id, {WORDS} AS words FROM documents),
+windows AS (
+  SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 49], ' ')) AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM split WHERE len(words) >= 50)),
+late AS (
+  SELECT doc_id, pos FROM windows
+  JOIN (SELECT gram, min(doc_id) AS least FROM windows GROUP BY gram) USING (gram) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, pos + step AS pos FROM late, range(50) r(step)),
+pieces AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM split),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM pieces WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = pieces.doc_id AND gone.pos = pieces.pos)
+  GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
+@query("op3_recompression", REPEAT_SQL)
+def _recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
