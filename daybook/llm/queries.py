@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import brown, decontaminate, language, line_dedup, mixing, recompression, simhash, toxicity, vector_file
+from daybook.llm import brown, decontaminate, language, line_dedup, mixing, recompression, simhash, suffix, toxicity, vector_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -161,3 +161,33 @@ FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 @query("op3_recompression", REPEAT_SQL)
 def _recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+BYTES_SQL = """
+WITH split AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS code FROM documents),
+strings AS (
+  SELECT doc_id, code, unnest(range(0, len(code) // 2 - 399)) AS pos FROM split WHERE len(code) >= 800),
+marked AS (SELECT doc_id, pos, md5(substr(code, 2 * pos + 1, 800)) AS mark FROM strings),
+twice AS (SELECT mark FROM marked GROUP BY mark HAVING count(*) > 1),
+starts AS (SELECT doc_id, pos FROM marked SEMI JOIN twice USING (mark)),
+edged AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 400 THEN 0 ELSE 1 END AS edge
+  FROM starts WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+numbered AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM edged),
+spans AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 400 AS b FROM numbered GROUP BY ALL),
+gaps AS (
+  SELECT doc_id, b AS a, coalesce(lead(a) OVER w, len(code) // 2) AS b, b AS place
+  FROM spans JOIN split USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, 0, min(a), -1 FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(code, 2 * a + 1, 2 * (b - a)), '' ORDER BY place) AS left_code
+  FROM gaps JOIN split USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, (len(code) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_code, code))) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
+@query("op6_suffix_array", BYTES_SQL)
+def _suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
