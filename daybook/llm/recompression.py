@@ -95,7 +95,8 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 def summaries(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     """``doc_id, mark, n_words, sha, names`` per row: number and digest of the words, and the names
-    of the symbols that stand for its windows, each once. ``mark`` tells texts of one doc_id apart."""
+    of the symbols that stand for its windows, each once. ``mark``, 32 bits of hash to keep the
+    shuffled rows short, tells texts of one doc_id apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -114,7 +115,7 @@ def summaries(docs: DataFrame, window: int, rounds: int) -> DataFrame:
                 ["doc_id", "mark", "n_words", "sha", "names"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n_words long, sha string, names array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark int, n_words long, sha string, names array<long>")
 
 
 def _digest(found: list[bytes]) -> str:
@@ -151,7 +152,7 @@ def _windows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "at", "x", "y"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, at int, x long, y long")
+    return docs.mapInArrow(run, "doc_id long, mark int, at int, x long, y long")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -174,7 +175,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
             kept_text = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, kept_text], ["doc_id", "mark", "n_removed", "sha", "kept"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n_removed long, sha string, kept string")
+    return docs.mapInArrow(run, "doc_id long, mark int, n_removed long, sha string, kept string")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -195,7 +196,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     a doc_id are compared with none; rows of the same doc_id do not remove each other. One row per
     input row; no rows give no rows.
     """
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("mark"))
     found = stage(summaries(marked, window, rounds), "summaries")
     firsts = found.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least"))
     told = found.select("doc_id", "mark", "n_words", "sha").join(firsts, "sha", "left")
