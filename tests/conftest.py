@@ -12,8 +12,8 @@ START = dt.date(2024, 1, 1)
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("*", 4)
+def spark(tmp_path_factory):
+    session = build_session("*", 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
