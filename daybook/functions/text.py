@@ -1,4 +1,4 @@
-"""Label normalisation and the mapping of feature names to groups."""
+"""Label normalisation."""
 
 from __future__ import annotations
 
@@ -24,18 +24,3 @@ def slug_column(column: str | Column) -> Column:
     """Lower-case a label, strip its accents and join its words with underscores."""
     plain = F.translate(F.lower(column), ACCENTED, PLAIN)
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "_"), F.lit("_"))
-
-
-def feature_group(name: str | Column, parts: list[str], exog: list[str]) -> Column:
-    """Group of a feature name; null if no rule matches, which callers treat as an error."""
-    col = F.col(name) if isinstance(name, str) else name
-    part_names, exog_names = "|".join(parts), "|".join(exog)
-    return (
-        F.when(col.startswith("feat_fourier_weekly_"), "fourier_weekly")
-        .when(col.startswith("feat_fourier_annual_"), "fourier_annual")
-        .when(col.rlike("^feat_((day|holiday)_type_.*|is_weekend|is_bridge_day)$"), "calendar")
-        .when(col.rlike("^feat_total_lag_[0-9]+$"), "lag_total")
-        .when(col.rlike("^feat_total_roll_(mean|std)_[0-9]+$"), "rolling")
-        .when(col.rlike(f"^feat_({part_names})_lag_[0-9]+$"), "lag_operator")
-        .when(col.rlike(f"^feat_({exog_names})_(lag|roll_mean)_[0-9]+$"), "weather")
-    )

@@ -128,8 +128,10 @@ def irregular_weight(columns: list[str]) -> Column:
 
 
 def hybrid_combine(stage1: DataFrame, corrections: DataFrame, out: str = "y_pred") -> DataFrame:
-    """Stage-1 prediction plus predicted residual."""
-    joined = stage1.join(corrections.select(*KEYS, "e_pred"), KEYS)
+    """Stage-1 prediction plus predicted residual; a prediction without a correction is an error."""
+    joined = stage1.join(corrections.select(*KEYS, "e_pred"), KEYS, "left")
+    fault = F.raise_error(F.concat(F.lit("no correction for "), F.concat_ws(" ", *KEYS)))
+    joined = joined.withColumn("e_pred", F.coalesce("e_pred", fault.cast("double")))
     return joined.select(
         *KEYS,
         "split",

@@ -14,13 +14,14 @@ from daybook.constants import (
     DAY_TYPES,
     EXOG_LAGS,
     EXOG_WINDOW,
+    FOURIER_TERMS,
     HOLIDAY_TYPES,
     PREFIX,
     ROLLING_WINDOWS,
     SEQUENCE_WINDOW,
     TARGET_LAGS,
 )
-from daybook.functions.calendar import fourier, is_weekend, one_hot
+from daybook.functions.calendar import calendar_names, fourier, fourier_names, is_weekend, one_hot
 from daybook.operators.guards import melt_row
 from daybook.operators.panel import KEYS, Span, attach_calendar, bridge_days, by_series
 
@@ -146,6 +147,33 @@ def feature_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith(PREFIX)]
 
 
+def declared_groups(parts: list[str], variables: list[str]) -> dict[str, str]:
+    """Group of every feature that the builders of this module make, by name."""
+
+    def lags(columns: list[str], steps: list[int]) -> list[str]:
+        return [f"{PREFIX}{c}_lag_{n}" for c in columns for n in steps]
+
+    labels = [label for label, *_ in FOURIER_TERMS for _ in ("sin", "cos")]
+    seasonal = list(zip(fourier_names(), labels))
+    made = {
+        "fourier_weekly": [n for n, label in seasonal if label == "weekly"],
+        "fourier_annual": [n for n, label in seasonal if label == "annual"],
+        "calendar": calendar_names(),
+        "lag_total": lags(["total"], TARGET_LAGS),
+        "rolling": [f"{PREFIX}total_roll_{stat}_{w}" for w in ROLLING_WINDOWS for stat in ("mean", "std")],
+        "lag_operator": lags(parts, TARGET_LAGS),
+        "weather": [*lags(variables, EXOG_LAGS), *[f"{PREFIX}{v}_roll_mean_{EXOG_WINDOW}" for v in variables]],
+    }
+    return {name: group for group, names in made.items() for name in names}
+
+
+def feature_group(name: str | Column, parts: list[str], variables: list[str]) -> Column:
+    """Group of a feature name; null if no builder makes it, which callers treat as an error."""
+    col = F.col(name) if isinstance(name, str) else name
+    pairs = [F.lit(x) for pair in declared_groups(parts, variables).items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), col)
+
+
 def feature_report(features: DataFrame, names: list[str]) -> DataFrame:
     """Per feature: nulls and first valid date; plus the first date with every feature valid."""
     days = F.unix_date("date")

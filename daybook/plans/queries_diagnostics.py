@@ -16,7 +16,7 @@ from daybook.plans.registry import query
 from daybook.plans.sql import R, rows, twin
 from daybook.plans.workspace import ANNUAL_TERMS, Workspace, rounded
 
-REPLICATES = 200
+REPLICATES = 2000
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daybook.constants import DAY_TYPES, HOLIDAY_TYPES, SEQUENCE_WINDOW, TARGET_LAGS
 from daybook.functions.calendar import calendar_names, day_index, fourier_names, is_weekend, one_hot
-from daybook.functions.text import feature_group, slug_column
+from daybook.functions.text import slug_column
 from daybook.operators import features, guards, scaling, scores, splits
 from daybook.operators.panel import KEYS, bridge_days
 from daybook.plans import tables as T
@@ -231,7 +231,7 @@ def feature_list(ws: Workspace) -> DataFrame:
 )
 def classify_feature(ws: Workspace) -> DataFrame:
     """Valid rows and group of every feature column."""
-    group = feature_group("feature", T.PARTS, T.EXOG)
+    group = features.feature_group("feature", T.PARTS, T.EXOG)
     return feature_list(ws).select("feature", "n", group.alias("feature_group"))
 
 

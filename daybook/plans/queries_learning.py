@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daybook.constants import DEGENERATE_MIN
 from daybook.functions.calendar import calendar_names, fourier_names
-from daybook.functions.text import feature_group
+from daybook.operators.features import feature_group
 from daybook.models import arx, studies, trees
 from daybook.operators import features, reshape, scores, splits, verdicts
 from daybook.operators.panel import KEYS

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from daybook.constants import HOLIDAY_TYPES, TARGET_LAGS
 from daybook.functions.calendar import calendar_names, fourier_names
-from daybook.functions.text import feature_group, slug, slug_column
+from daybook.functions.text import slug, slug_column
 from daybook.operators import features, scaling, splits
 from daybook.operators.panel import Span
 
@@ -62,7 +62,7 @@ def test_full_width_of_the_feature_table(spark):
     table = features.build_features(panel, calendar, exog, parts, weather, span)
     names = features.feature_names(table)
     assert len(names) == 161 and table.count() == 40
-    groups = spark.createDataFrame([(n,) for n in names], "f string").groupBy(feature_group("f", parts, weather).alias("g")).count()
+    groups = spark.createDataFrame([(n,) for n in names], "f string").groupBy(features.feature_group("f", parts, weather).alias("g")).count()
     assert {r["g"]: r["count"] for r in groups.collect()} == {
         "calendar": 11, "fourier_weekly": 2, "fourier_annual": 4, "lag_total": 7, "lag_operator": 28, "rolling": 4, "weather": 105,
     }

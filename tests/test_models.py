@@ -145,6 +145,8 @@ def test_weights_and_hybrid_identity(spark, pooled, bounds, panel):
     fix = panel.select("series_id", "date", (F.col("total") - 50.0).alias("e_pred"))
     out = trees.hybrid_combine(stage1, fix)
     assert out.where("y_pred <> y_true").count() == 0 and out.count() == panel.count()
+    with pytest.raises(Exception, match="no correction for"):
+        trees.hybrid_combine(stage1, fix.where(F.col("date") > START)).collect()
 
 
 def test_residual_set_refuses_missing_features(spark, panel):
