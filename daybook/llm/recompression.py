@@ -210,8 +210,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     hopeful = stage(marked.join(mine, ["doc_id", "mark"]), "hopeful")
 
     windows = _windows(hopeful, window, rounds)
-    lowest = windows.groupBy("x", "y").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    late = windows.join(lowest.select("x", "y", "low"), ["x", "y"]).where("low < doc_id")
+    lowest = windows.groupBy("x", "y").agg(F.min("doc_id").alias("low"))
+    late = windows.join(lowest, ["x", "y"]).where("low < doc_id")
     late = late.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("found"))
     cut = _cut(hopeful.drop("names").dropDuplicates(["doc_id", "mark"]).join(late, ["doc_id", "mark"]), window)
     cut = cut.withColumnRenamed("sha", "cut_sha")
