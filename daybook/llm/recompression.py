@@ -109,17 +109,17 @@ def summaries(docs: DataFrame, window: int, rounds: int) -> DataFrame:
                     piece.column("doc_id"),
                     piece.column("mark"),
                     pa.array(found.counts.astype(np.int64)),
-                    pa.array(digests),
+                    pa.array(digests, pa.binary()),
                     _lists(owner, names, piece.num_rows),
                 ],
                 ["doc_id", "mark", "n_words", "sha", "names"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, mark int, n_words long, sha string, names array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark int, n_words long, sha binary, names array<long>")
 
 
-def _digest(found: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(found)).hexdigest()
+def _digest(found: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(found)).digest()
 
 
 def _bounds(found) -> list[tuple[int, int]]:
@@ -170,12 +170,12 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                 kept = np.cumsum(depth)[:-1] == 0
                 gone.append(len(own) - int(kept.sum()))
                 texts.append(b" ".join([w for w, k in zip(own, kept) if k]))
-            digests = [hashlib.sha256(t).hexdigest() for t in texts]
-            columns = [piece.column("doc_id"), piece.column("mark"), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
+            digests = [hashlib.sha256(t).digest() for t in texts]
+            columns = [piece.column("doc_id"), piece.column("mark"), pa.array(gone, pa.int64()), pa.array(digests, pa.binary())]
             kept_text = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, kept_text], ["doc_id", "mark", "n_removed", "sha", "kept"])
 
-    return docs.mapInArrow(run, "doc_id long, mark int, n_removed long, sha string, kept string")
+    return docs.mapInArrow(run, "doc_id long, mark int, n_removed long, sha binary, kept string")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -217,11 +217,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     cut = cut.withColumnRenamed("sha", "cut_sha")
 
     out = told.join(cut, ["doc_id", "mark"], "left")
-    empty = F.lit(hashlib.sha256(b"").hexdigest())
+    empty = F.lit(hashlib.sha256(b"").digest())
     return out.select(
         "doc_id",
         "n_words",
         F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(F.col("whole"), empty).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+        F.lower(F.hex(F.when(F.col("whole"), empty).otherwise(F.coalesce("cut_sha", "sha")))).alias("kept_sha256"),
         "kept",
     )
