@@ -33,10 +33,19 @@ def all_metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
     return predictions.groupBy(*by).agg(*scoring.metric_columns())
 
 
-def wide_metrics(wide: DataFrame, models: list[str], by: list[str], y: str = "total") -> DataFrame:
-    """The same table from a wide frame: one pass without multiplying the rows by the models."""
+def wide_metrics(
+    wide: DataFrame, models: list[str], by: list[str], y: str = "total", days: bool = False
+) -> DataFrame:
+    """The same table from a wide frame: one pass without multiplying the rows by the models.
+
+    ``days`` adds ``n_days``, the dates with a truth. It is the one distinct count of the aggregate,
+    so the sums are merged by group and date, whatever the number of series, before it is taken.
+    """
     columns = [m for i, name in enumerate(models) for m in scoring.metric_columns(y, name, f"_{i}")]
-    scored = wide.groupBy(*by).agg(*columns)
+    if days:
+        columns.append(F.count_distinct(F.when(F.col(y).isNotNull(), F.col("date"))).alias("n_days"))
+        by = [*by, "n_days"]
+    scored = wide.groupBy(*[c for c in by if c != "n_days"]).agg(*columns)
     rows = [
         F.struct(
             F.lit(name).alias("model"),
@@ -96,15 +105,21 @@ def day_groups() -> Column:
 def day_type_breakdown(predictions: DataFrame, by: list[str]) -> DataFrame:
     """n, MAE and MAPE per day type and for the two kinds of working day, which overlap it.
 
-    Rows take part in at most two groups, so they are spread before one aggregate; small
-    groups are flagged.
+    Rows take part in at most two groups, so they are spread before one aggregate. Groups of few
+    days are flagged; a series has one row a day, so by series the rows are the days.
     """
     spread = pair_filter(predictions).withColumn("group", F.explode(day_groups()))
     y, p = F.col("y_true"), F.col("y_pred")
+    days = F.count("*") if "series_id" in by else F.count_distinct("date")
     return (
         spread.groupBy(*by, "group")
-        .agg(F.count("*").alias("n"), scoring.mae(y, p).alias("MAE"), scoring.mape(y, p).alias("MAPE"))
-        .withColumn("small_sample", F.col("n") < SMALL_SAMPLE)
+        .agg(
+            F.count("*").alias("n"),
+            days.alias("n_days"),
+            scoring.mae(y, p).alias("MAE"),
+            scoring.mape(y, p).alias("MAPE"),
+        )
+        .withColumn("small_sample", F.col("n_days") < SMALL_SAMPLE)
     )
 
 
@@ -113,9 +128,9 @@ def wide_day_type_breakdown(
 ) -> DataFrame:
     """The same breakdown of several models at once, without a row per model."""
     spread = wide.withColumn("group", F.explode(day_groups()))
-    scored = wide_metrics(spread, models, [*by, "group"], y)
-    kept = scored.select(*by, "model", "group", "n", "MAE", "MAPE").where("n > 0")
-    return kept.withColumn("small_sample", F.col("n") < SMALL_SAMPLE)
+    scored = wide_metrics(spread, models, [*by, "group"], y, days=True)
+    kept = scored.select(*by, "model", "group", "n", "n_days", "MAE", "MAPE").where("n > 0")
+    return kept.withColumn("small_sample", F.col("n_days") < SMALL_SAMPLE)
 
 
 def breakdown_wide(breakdown: DataFrame, models: list[str]) -> DataFrame:
@@ -170,10 +185,10 @@ def rolling_delta(rolling: DataFrame, family_a: list[str], family_b: list[str])
     return best.withColumn("delta", F.col("best_a") - F.col("best_b"))
 
 
-def rank_min(metrics: DataFrame, by: list[str], floor: int = SMALL_SAMPLE) -> DataFrame:
-    """Rank of MAE within a group, ties sharing the lowest; null for a small group."""
+def rank_min(metrics: DataFrame, by: list[str], floor: int = SMALL_SAMPLE, size: str = "n") -> DataFrame:
+    """Rank of MAE within a group, ties sharing the lowest; null where ``size`` is below the floor."""
     order = Window.partitionBy(*by).orderBy("MAE")
-    rank = F.when(F.col("n") >= floor, F.rank().over(order))
+    rank = F.when(F.col(size) >= floor, F.rank().over(order))
     return metrics.withColumn("rank_MAE", rank.cast("long"))
 
 

@@ -29,6 +29,9 @@ from daybook.operators.scores import bh_adjust, family_argmin, family_min, rank_
 from daybook.operators.splits import SplitBounds, in_split
 from daybook.session import small_side
 
+# Scope of validation and test together (fixed value).
+POOLED_SCOPE = "val_test"
+
 
 def easter_days(calendar: DataFrame, reach: int = 4) -> DataFrame:
     """Dates within ``reach`` days of a Maundy Thursday."""
@@ -105,16 +108,23 @@ def spread_subgroups(rows: DataFrame) -> DataFrame:
 
 
 def subgroup_metrics(rows: DataFrame, models: list[str], y: str = "total") -> DataFrame:
-    """Metrics, rank and inferential flag per scope, subgroup and model, from wide rows."""
-    metrics = wide_metrics(spread_subgroups(rows), models, ["scope", "subgroup"], y)
-    ranked = rank_min(metrics, ["scope", "subgroup"])
-    return ranked.withColumn("inferential", F.col("n") >= MIN_N_INFERENTIAL)
+    """Metrics, rank and inferential flag per scope, subgroup and model, from wide rows.
+
+    Every row counts in its own scope and in the pooled one. Ranks and the flag go by the days of
+    a subgroup (``n_days``), since rows of one day are no independent observations.
+    """
+    scopes = F.explode(F.array("scope", F.lit(POOLED_SCOPE)))
+    spread = spread_subgroups(rows.withColumn("scope", scopes))
+    metrics = wide_metrics(spread, models, ["scope", "subgroup"], y, days=True)
+    ranked = rank_min(metrics, ["scope", "subgroup"], size="n_days")
+    return ranked.withColumn("inferential", F.col("n_days") >= MIN_N_INFERENTIAL)
 
 
 def win_table(metrics: DataFrame, focal: list[str], rivals: list[str]) -> DataFrame:
     """Best model of each family per subgroup, and whether the focal family is ahead."""
     best = metrics.groupBy("scope", "subgroup").agg(
         F.max("n").alias("n"),
+        F.max("n_days").alias("n_days"),
         family_argmin("MAE", "model", rivals).alias("best_model"),
         family_min("MAE", "model", rivals).alias("best_MAE"),
         family_argmin("MAE", "model", focal).alias("best_focal"),
@@ -124,7 +134,7 @@ def win_table(metrics: DataFrame, focal: list[str], rivals: list[str]) -> DataFr
     delta = F.col("best_focal_MAE") - F.col("best_MAE")
     return whole.withColumns(
         {
-            "inferential": F.col("n") >= MIN_N_INFERENTIAL,
+            "inferential": F.col("n_days") >= MIN_N_INFERENTIAL,
             "delta_MAE": delta,
             "delta_pct": F.try_divide(delta * 100.0, F.col("best_MAE")),
             "focal_ranks_first": delta < 0,
@@ -231,13 +241,16 @@ def block_bootstrap(
 
 
 def subgroup_verdicts(wins: DataFrame, boot: DataFrame) -> DataFrame:
-    """The reading of every subgroup: first on test, again on validation, and significant."""
+    """The reading of every subgroup: first on test, again on validation, and significant.
+
+    ``n_test`` and ``n_val`` are days, as in the bootstrap.
+    """
 
     def on(scope: str, column: str) -> Column:
         return F.max(F.when(F.col("scope") == scope, F.col(column)))
 
     sides = wins.groupBy("subgroup").agg(
-        *[on(s, "n").alias(f"n_{s}") for s in ("test", "val")],
+        *[on(s, "n_days").alias(f"n_{s}") for s in ("test", "val")],
         *[on(s, "focal_ranks_first").alias(f"first_{s}") for s in ("test", "val")],
     )
     joined = sides.join(boot.select("subgroup", "significant"), "subgroup", "left")

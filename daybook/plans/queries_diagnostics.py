@@ -17,6 +17,8 @@ from daybook.plans.sql import R, rows, twin
 from daybook.plans.workspace import ANNUAL_TERMS, Workspace, rounded
 
 REPLICATES = 2000
+# Decimals where means of 640 rows and the like would end in a tie at the sixth.
+FINE = 8
 
 
 @query(
@@ -264,27 +266,27 @@ def train_mad(ws: Workspace) -> DataFrame:
 @query(
     "subgroup_metrics",
     twin(
-        f"""SELECT scope, subgroup, model, n, {rows(*[f"{R(m)} AS {m}" for m in ("MAE", "RMSE", "MAPE", "R2")])},
-        CASE WHEN n >= 10 THEN rank() OVER (PARTITION BY scope, subgroup ORDER BY MAE) END AS rank_MAE,
-        n >= 20 AS inferential FROM sub_metrics""",
+        f"""SELECT scope, subgroup, model, n, n_days, {rows(*[f"{R(m, FINE)} AS {m}" for m in ("MAE", "RMSE", "MAPE", "R2")])},
+        CASE WHEN n_days >= 10 THEN rank() OVER (PARTITION BY scope, subgroup ORDER BY MAE) END AS rank_MAE,
+        n_days >= 20 AS inferential FROM sub_metrics""",
         "sub_metrics",
     ),
 )
 def subgroup_metrics(ws: Workspace) -> DataFrame:
-    return rounded(ws.subgroup_metrics)
+    return rounded(ws.subgroup_metrics, FINE)
 
 
 @query(
     "win_table",
     twin(
-        f"""SELECT scope, subgroup, n, best_model, {R("best_MAE")} AS best_MAE, best_focal,
-        {R("best_focal_MAE")} AS best_focal_MAE, inferential, {R("delta_MAE")} AS delta_MAE,
-        {R("delta_pct")} AS delta_pct, focal_ranks_first FROM wins""",
+        f"""SELECT scope, subgroup, n, n_days, best_model, {R("best_MAE", FINE)} AS best_MAE, best_focal,
+        {R("best_focal_MAE", FINE)} AS best_focal_MAE, inferential, {R("delta_MAE", FINE)} AS delta_MAE,
+        {R("delta_pct", FINE)} AS delta_pct, focal_ranks_first FROM wins""",
         "wins",
     ),
 )
 def win_table(ws: Workspace) -> DataFrame:
-    return rounded(ws.win_table)
+    return rounded(ws.win_table, FINE)
 
 
 _BOOT = f""", day_errors AS (SELECT subgroup, date_diff('day', val_end, date) - 1 AS pos, model,
@@ -337,8 +339,8 @@ def block_bootstrap(ws: Workspace) -> DataFrame:
         WHEN n_test < 20 THEN 'no inferencial (n insuficiente)'
         WHEN first_test AND first_val AND n_val >= 20 AND coalesce(p_adj_bh <= 0.10, false) THEN 'gana con evidencia'
         WHEN first_test THEN 'primero sin evidencia' ELSE 'no gana' END AS verdict FROM (
-        SELECT subgroup, coalesce(max(n) FILTER (scope = 'test'), 0) AS n_test,
-        coalesce(max(n) FILTER (scope = 'val'), 0) AS n_val,
+        SELECT subgroup, coalesce(max(n_days) FILTER (scope = 'test'), 0) AS n_test,
+        coalesce(max(n_days) FILTER (scope = 'val'), 0) AS n_val,
         coalesce(bool_or(focal_ranks_first) FILTER (scope = 'test'), false) AS first_test,
         coalesce(bool_or(focal_ranks_first) FILTER (scope = 'val'), false) AS first_val
         FROM wins GROUP BY subgroup) w LEFT JOIN tested t ON t.subgroup = w.subgroup""",

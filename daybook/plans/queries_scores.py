@@ -189,8 +189,8 @@ def baseline_scores_city(ws: Workspace) -> DataFrame:
 _GROUPS = """, spread AS (SELECT *, unnest(list_filter([day_type, CASE WHEN day_type = 'laborable' THEN
     CASE WHEN feat_is_bridge_day = 1 THEN 'laborable, bridge day' ELSE 'laborable, ordinary' END END],
     lambda g: g IS NOT NULL)) AS "group" FROM tidy_days),
-    groups AS (SELECT split, model, "group", count(*) AS n, avg(abs(y_true - y_pred)) AS MAE,
-    100 * avg(abs((y_true - y_pred) / nullif(y_true, 0))) AS MAPE, count(*) < 10 AS small_sample
+    groups AS (SELECT split, model, "group", count(*) AS n, count(DISTINCT date) AS n_days, avg(abs(y_true - y_pred)) AS MAE,
+    100 * avg(abs((y_true - y_pred) / nullif(y_true, 0))) AS MAPE, count(DISTINCT date) < 10 AS small_sample
     FROM spread GROUP BY split, model, "group") """
 
 
@@ -202,7 +202,7 @@ def breakdown(ws: Workspace) -> DataFrame:
 @query(
     "day_type_breakdown",
     twin(
-        f'{_GROUPS} SELECT split, model, "group", n, {R("MAE")} AS MAE, {R("MAPE")} AS MAPE, small_sample FROM groups',
+        f'{_GROUPS} SELECT split, model, "group", n, n_days, {R("MAE")} AS MAE, {R("MAPE")} AS MAPE, small_sample FROM groups',
         "tidy_days",
     ),
 )
@@ -622,7 +622,9 @@ def available_models(ws: Workspace) -> DataFrame:
 @query(
     "actual_vs_predicted",
     twin(
-        "SELECT series_id, date, y_true, y_pred FROM tidy WHERE model = 'seasonal_naive' AND split = 'test'", "tidy"
+        """SELECT series_id, date, total::DOUBLE AS y_true, seasonal_naive AS y_pred
+        FROM baselines WHERE split = 'test'""",
+        "baselines",
     ),
 )
 def actual_vs_predicted(ws: Workspace) -> DataFrame:
@@ -778,17 +780,18 @@ def rolling_delta(ws: Workspace) -> DataFrame:
 @query(
     "rank_min",
     twin(
-        f"""SELECT day_type, model, n, {R("MAE")} AS MAE,
-        CASE WHEN n >= 10 THEN rank() OVER (PARTITION BY day_type ORDER BY MAE) END AS rank_MAE FROM (
-        SELECT day_type, model, count(*) AS n, avg(abs({ERROR})) AS MAE FROM tidy_days
+        f"""SELECT day_type, model, n, n_days, {R("MAE")} AS MAE,
+        CASE WHEN n_days >= 10 THEN rank() OVER (PARTITION BY day_type ORDER BY MAE) END AS rank_MAE FROM (
+        SELECT day_type, model, count(*) AS n, count(DISTINCT date) AS n_days, avg(abs({ERROR})) AS MAE FROM tidy_days
         WHERE split = 'test' AND model NOT LIKE 'ensemble%' GROUP BY day_type, model)""",
         "tidy_days",
     ),
 )
 def rank_min(ws: Workspace) -> DataFrame:
     days = ws.with_days(ws.baselines.where("split = 'test'"), ["day_type"])
-    table = scores.wide_metrics(days, T.BASELINES, ["day_type"])
-    return rounded(scores.rank_min(table, ["day_type"]).select("day_type", "model", "n", "MAE", "rank_MAE"))
+    table = scores.wide_metrics(days, T.BASELINES, ["day_type"], days=True)
+    ranked = scores.rank_min(table, ["day_type"], size="n_days")
+    return rounded(ranked.select("day_type", "model", "n", "n_days", "MAE", "rank_MAE"))
 
 
 CHAIN = ["seasonal_naive", "ensemble_equal", "moving_average_28"]

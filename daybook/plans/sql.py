@@ -217,9 +217,9 @@ CTES: dict[str, tuple[list[str], str]] = {
         "FROM tidy GROUP BY split, model",
     ),
     "resid": (
-        ["tidy"],
-        """SELECT series_id, date, split, y_true, y_pred, y_true - y_pred AS residual
-            FROM tidy WHERE model = 'moving_average_28' AND split <> 'train'""",
+        ["baselines"],
+        """SELECT series_id, date, split, total::DOUBLE AS y_true, moving_average_28 AS y_pred,
+            total::DOUBLE - moving_average_28 AS residual FROM baselines WHERE split <> 'train'""",
     ),
     "resid_days": (
         ["resid", "days"],
@@ -281,19 +281,19 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "sub_metrics": (
         ["tidy", "member"],
-        """SELECT split AS scope, subgroup, model, count(*) AS n, avg(abs(y_true - y_pred)) AS MAE,
+        """SELECT scope, subgroup, model, count(*) AS n, count(DISTINCT t.date) AS n_days, avg(abs(y_true - y_pred)) AS MAE,
             sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS RMSE,
             100 * avg(abs((y_true - y_pred) / nullif(y_true, 0))) AS MAPE,
             1 - sum((y_true - y_pred) * (y_true - y_pred)) / nullif(var_pop(y_true) * count(*), 0) AS R2
-            FROM tidy t JOIN member m ON m.series_id = t.series_id AND m.date = t.date
-            WHERE split <> 'train' GROUP BY split, subgroup, model""",
+            FROM (SELECT *, unnest([split, 'val_test']) AS scope FROM tidy WHERE split <> 'train') t
+            JOIN member m ON m.series_id = t.series_id AND m.date = t.date GROUP BY scope, subgroup, model""",
     ),
     "wins": (
         ["sub_metrics"],
-        """SELECT *, n >= 20 AS inferential, best_focal_MAE - best_MAE AS delta_MAE,
+        """SELECT *, n_days >= 20 AS inferential, best_focal_MAE - best_MAE AS delta_MAE,
             100 * (best_focal_MAE - best_MAE) / nullif(best_MAE, 0) AS delta_pct,
             best_focal_MAE < best_MAE AS focal_ranks_first FROM (
-            SELECT scope, subgroup, max(n) AS n,
+            SELECT scope, subgroup, max(n) AS n, max(n_days) AS n_days,
             arg_min(model, (MAE, model)) FILTER (model NOT LIKE 'ensemble%') AS best_model,
             min(MAE) FILTER (model NOT LIKE 'ensemble%') AS best_MAE,
             arg_min(model, (MAE, model)) FILTER (model LIKE 'ensemble%') AS best_focal,
@@ -331,6 +331,10 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
+# Expressions that others read several times.
+KEPT = {"panel", "baselines", "weights"}
+
+
 def twin(select: str, *needs: str) -> str:
     """A query with the named expressions, and what they build on, in front of it."""
     order: list[str] = []
@@ -343,5 +347,7 @@ def twin(select: str, *needs: str) -> str:
 
     for name in needs:
         visit(name)
-    heads = ",\n".join(f"{name} AS ({CTES[name][1]})" for name in order)
+    heads = ",\n".join(
+        f"{name} AS {'MATERIALIZED ' if name in KEPT else ''}({CTES[name][1]})" for name in order
+    )
     return f"WITH RECURSIVE {heads}\n{select}" if heads else select

@@ -143,10 +143,11 @@ def test_bootstrap_hides_the_interval_of_a_rare_group(spark):
 
 
 def test_families_choose_their_best(spark):
-    rows = [("test", "g", m, 30, v) for m, v in (("a", 3.0), ("b", 1.0), ("h", 1.0), ("i", 2.0))]
-    df = spark.createDataFrame(rows, "scope string, subgroup string, model string, n bigint, MAE double")
+    rows = [("test", "g", m, 60, 19, v) for m, v in (("a", 3.0), ("b", 1.0), ("h", 1.0), ("i", 2.0))]
+    df = spark.createDataFrame(rows, "scope string, subgroup string, model string, n bigint, n_days bigint, MAE double")
     row = subgroups.win_table(df, ["i", "h"], ["a", "b"]).first()
     assert (row["best_model"], row["best_focal"], row["delta_MAE"], row["focal_ranks_first"]) == ("b", "h", 0.0, False)
+    assert not row["inferential"]  # 60 rows, but 19 days
 
 
 def test_rolling_mae_needs_full_windows(make_panel):

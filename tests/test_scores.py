@@ -52,6 +52,7 @@ def test_breakdown_groups_overlap(spark):
     days = [("laborable", 1, 150.0), ("laborable", 0, 110.0), ("sabado", 0, 120.0), ("festivo", 0, 200.0)]
     rows = [(t, b, 100.0, p, "m") for t, b, p in days]
     df = spark.createDataFrame(rows, "day_type string, feat_is_bridge_day int, y_true double, y_pred double, model string")
+    df = df.selectExpr("*", "date'2024-01-01' as date")
     table = scores.day_type_breakdown(df, ["model"])
     got = {r["group"]: (r["n"], r["MAE"]) for r in table.collect()}
     assert got == {
@@ -196,7 +197,7 @@ def test_subgroup_verdict_levels(spark):
             ("test", "entre_semana", 30, False), ("val", "entre_semana", 30, True),
             ("test", "periodo_navidad", 90, True), ("val", "periodo_navidad", 90, True),
         ],
-        "scope string, subgroup string, n bigint, focal_ranks_first boolean",
+        "scope string, subgroup string, n_days bigint, focal_ranks_first boolean",
     )
     boot = spark.createDataFrame([("sabado", True), ("domingo", True)], "subgroup string, significant boolean")
     got = {r["subgroup"]: r["verdict"] for r in subgroups.subgroup_verdicts(wins, boot).collect()}
