@@ -1,4 +1,8 @@
-"""Line dedup: documents that share lines are aligned by patience diff, the later one gives way."""
+"""Line dedup: of documents that have a block of lines in common, the later ones give way.
+
+``overlaps`` finds every common block by its runs of lines; ``patience`` and ``common_blocks`` align two
+documents alone, and what they find is part of it.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,16 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.text import WHITE
+from daybook.llm.text import FIRST, SECOND, WHITE, stage
 
-# A line of at least so many words can bring two documents together; rarer words make rarer lines.
-LINE_WORDS = 5
 # A common block is deleted if it has at least so many words.
 BLOCK_WORDS = 10
+# Runs of at most so many rows are broadcast; more are joined by a shuffle.
+SMALL_ROWS = 400_000
 
 
 def _anchors(a: list, b: list) -> list[tuple[int, int]]:
@@ -81,54 +85,100 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def overlaps(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, text_id, partners, spans``: what each document repeats of earlier ones.
+def _run_ends(sizes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of ``least`` words from each line on and up to each line.
+
+    ``sizes`` are the words of the lines of several documents, ``first`` the first line of each and
+    the end; no run crosses documents.
+    """
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    ends = np.searchsorted(sums, sums[:-1] + least)
+    onward = ends <= first[owner + 1]
+    starts = np.searchsorted(sums, sums[1:] - least, side="right") - 1
+    back = (sums[1:] >= least) & (starts >= first[owner])
+    spans = np.concatenate(
+        [np.stack([at[onward], ends[onward]], axis=1), np.stack([starts[back], at[back] + 1], axis=1)]
+    )
+    spans = np.unique(spans, axis=0)
+    return spans[:, 0], spans[:, 1]
+
+
+def _runs(docs: DataFrame, block_words: int) -> DataFrame:
+    """``doc_id, text_id, start, end, run, check``: the shortest runs of lines with ``block_words`` words.
 
-    A line of ``line_words`` words or more, found by its hash, pairs each of its holders with the
-    earliest one (the smallest doc_id): as many pairs as line occurrences at most, however large a
-    group of copies is, and every line with an earlier holder is covered by a pair. Each pair is
-    aligned by patience diff on 128 bits of hash per line. Spans are line numbers from 0, end exclusive.
+    ``run`` and ``check`` are 128 bits of hash of the lines.
     """
     held = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    held = held.select("doc_id", F.xxhash64("text").alias("text_id"), _lines(F.col("text")).alias("lines"))
+    held = held.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), _lines(F.col("text")).alias("lines"))
     hashes = F.transform("lines", lambda x: F.xxhash64(x))
     checks = F.transform("lines", lambda x: F.xxhash64(F.lit("again"), x))
     sizes = F.transform("lines", lambda x: F.size(F.filter(F.split(x, WHITE), lambda w: w != "")))
     held = held.select("doc_id", "text_id", hashes.alias("lines"), checks.alias("checks"), sizes.alias("sizes"))
-    named = held.select("doc_id", "text_id", F.inline(F.arrays_zip("lines", "sizes")))
-    named = named.where(F.col("sizes") >= line_words).select("doc_id", "text_id", F.col("lines").alias("line"))
-    first = named.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"))
-    first = first.where("earlier < last").select("line", "earlier")
-    pairs = named.join(first, "line").where("earlier < doc_id").select("doc_id", "text_id", "earlier").distinct()
-    ours = pairs.join(held, ["doc_id", "text_id"])
-    theirs = held.select(
-        F.col("doc_id").alias("earlier"), F.col("lines").alias("their_lines"), F.col("checks").alias("their_checks")
-    )
-    both = ours.join(theirs, "earlier")
-
-    def align(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            spans = []
-            for a, b, sizes, c, d in zip(frame.lines, frame.checks, frame.sizes, frame.their_lines, frame.their_checks):
-                if np.array_equal(a, c) and np.array_equal(b, d):
-                    spans.append([(0, len(a))] if sizes.sum() >= block_words else [])
-                else:
-                    later, earlier = list(zip(a.tolist(), b.tolist())), list(zip(c.tolist(), d.tolist()))
-                    spans.append(common_blocks(later, earlier, sizes.tolist(), block_words))
-            flat = [[{"start": s, "end": e} for s, e in own] for own in spans]
-            yield pd.DataFrame({"doc_id": frame.doc_id, "text_id": frame.text_id, "spans": flat})
-
-    found = both.select("doc_id", "text_id", "lines", "checks", "sizes", "their_lines", "their_checks").mapInPandas(
-        align, "doc_id long, text_id long, spans array<struct<start: int, end: int>>"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, checks, sizes = (batch.column(c).flatten().to_numpy() for c in ("lines", "checks", "sizes"))
+            counts = batch.column("lines").value_lengths().to_numpy()
+            first = np.concatenate([[0], np.cumsum(counts)])
+            starts, ends = _run_ends(sizes, first, block_words)
+            owner = np.searchsorted(first, starts, side="right") - 1
+            columns = [
+                batch.column("doc_id").take(pa.array(owner)),
+                batch.column("text_id").take(pa.array(owner)),
+                pa.array((starts - first[owner]).astype(np.int32)),
+                pa.array((ends - first[owner]).astype(np.int32)),
+                pa.array(FIRST.spans(lines.view(np.uint64), starts, ends).view(np.int64)),
+                pa.array(SECOND.spans(checks.view(np.uint64), starts, ends).view(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_id", "start", "end", "run", "check"])
+
+    return held.mapInArrow(run, "doc_id long, text_id long, start int, end int, run long, check long")
+
+
+def overlaps(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, text_id, partners, spans``: what each document repeats of earlier ones.
+
+    A block is a run of consecutive lines of ``block_words`` words or more that some earlier document
+    has as well; all earlier documents count, and so do short and repeated lines. Every line of a
+    block lies in the shortest run of so many words from it on, or else in the shortest one up to the
+    end of the block, and both lie in the block. So the runs that have an earlier holder cover
+    exactly the blocks, and the smallest doc_id of each tells: rows are linear in lines whatever the size
+    of a group of copies. ``partners`` counts the earliest holders of the runs. Spans are line numbers
+    from 0, end exclusive, disjoint and in order.
+    """
+    runs = _runs(docs, block_words)
+    first = runs.groupBy("run", "check").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"))
+    first = stage(first.where("earlier < last").select("run", "check", "earlier"), "runs")
+    few = F.broadcast(first) if first.count() <= SMALL_ROWS else first
+    found = runs.join(few, ["run", "check"]).where("earlier < doc_id")
+    found = found.groupBy("doc_id", "text_id").agg(
+        F.size(F.collect_set("earlier")).cast("long").alias("partners"), F.collect_set(F.struct("start", "end")).alias("spans")
     )
-    found = found.where(F.size("spans") > 0)
-    return found.groupBy("doc_id", "text_id").agg(
-        F.count("*").alias("partners"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = []
+            for spans in batch.column("spans").to_pylist():
+                own: list[dict] = []
+                for span in sorted(spans, key=lambda s: s["start"]):
+                    if own and span["start"] <= own[-1]["end"]:
+                        own[-1]["end"] = max(own[-1]["end"], span["end"])
+                    else:
+                        own.append(span)
+                merged.append(own)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            columns = [batch.column(c) for c in ("doc_id", "text_id", "partners")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(merged, kind)], ["doc_id", "text_id", "partners", "spans"])
+
+    return found.mapInArrow(
+        merge, "doc_id long, text_id long, partners long, spans array<struct<start: int, end: int>>"
     )
 
 
-def line_dedup(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents with the lines deleted that an earlier document has in an aligned block.
+def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents with the lines deleted that an earlier document has in a block; see ``overlaps``.
 
     Returns all columns of ``docs`` with ``text`` cut, then ``n_lines, n_removed, n_partners``; a name
     that ``docs`` has already gets ``line_`` in front. Blocks of fewer than ``block_words`` words stay.
@@ -136,7 +186,7 @@ def line_dedup(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int =
     with 0 lines. Rows without a doc_id are neither earlier nor later than others and stay as they are;
     rows with the same doc_id give way only to smaller ones. No rows give no rows.
     """
-    spans = overlaps(docs, line_words, block_words)
+    spans = overlaps(docs, block_words)
     names = {c: f"line_{c}" if c in docs.columns else c for c in ("n_lines", "n_removed", "n_partners")}
     found = spans.select(
         F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), F.col("spans").alias("_spans"), F.col("partners").alias("_partners")
