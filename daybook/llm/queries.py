@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import brown, decontaminate, language, line_dedup, mixing, recompression, simhash, suffix, toxicity, vector_file
+from daybook.llm import (
+    brown,
+    decontaminate,
+    language,
+    line_dedup,
+    merkle,
+    mixing,
+    recompression,
+    simhash,
+    suffix,
+    toxicity,
+    twins,
+    vector_file,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -191,3 +204,8 @@ FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 @query("op6_suffix_array", BYTES_SQL)
 def _suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op11_merkle", twins.MERKLE)
+def _merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"), remainder(5) == 0)
