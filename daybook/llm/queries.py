@@ -15,6 +15,7 @@ from daybook.llm import (
     merkle,
     mixing,
     recompression,
+    resampling,
     simhash,
     suffix,
     toxicity,
@@ -209,3 +210,9 @@ def _suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle", twins.MERKLE)
 def _merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), remainder(5) == 0)
+
+
+@query("op12_resampling", twins.RESAMPLING)
+def _resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

@@ -71,3 +71,40 @@ SELECT doc_id, leaf, leaf{_LEAF_LEVELS}.h AS subroot, top{_SOURCE_LEVELS}.h AS r
   sha256(proof) AS proof_sha256, found AS folded_root, found = top{_SOURCE_LEVELS}.h AS verified
 FROM top_walk{_SOURCE_LEVELS - 1} w JOIN leaf{_LEAF_LEVELS} ON leaf{_LEAF_LEVELS}.s = w.s, top{_SOURCE_LEVELS}
 """
+
+_SPLIT = r"""list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+_FEATURES = """unnest(list_concat(words,
+    list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature"""
+
+RESAMPLING = f"""
+WITH {CRC_TABLE},
+split AS (SELECT row_number() OVER () AS row, doc_id, {_SPLIT} AS words FROM documents),
+wanted_split AS (SELECT {_SPLIT} AS words FROM benchmark),
+held AS (SELECT row, feature, count(*) AS n FROM (SELECT row, {_FEATURES} FROM split) GROUP BY ALL),
+wanted AS (SELECT feature, count(*) AS n FROM (SELECT {_FEATURES} FROM wanted_split) GROUP BY ALL),
+hashed AS (SELECT feature, {CRC.format("feature")} % 10000 AS bucket
+  FROM (SELECT feature FROM held UNION SELECT feature FROM wanted), crc_table),
+s AS (SELECT bucket, sum(n)::BIGINT AS n FROM held JOIN hashed USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS n FROM wanted JOIN hashed USING (feature) GROUP BY bucket),
+gain AS (
+  SELECT b.range AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE
+      * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000)
+      / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS g
+  FROM range(10000) b LEFT JOIN s ON s.bucket = b.range LEFT JOIN t ON t.bucket = b.range),
+summed AS (SELECT row, sum(n)::BIGINT AS n, sum(n * g)::BIGINT AS total
+  FROM held JOIN hashed USING (feature) JOIN gain USING (bucket) GROUP BY row),
+scored AS (
+  SELECT row, doc_id, len(words) AS n_words, coalesce(n, 0)::BIGINT AS n_features,
+    CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM split LEFT JOIN summed USING (row)),
+ranked AS (
+  SELECT row, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST, n_features) AS place,
+    count(*) OVER () AS able
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN place <= 25 * able // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (row)
+"""
