@@ -21,7 +21,7 @@ from daybook.llm.text import lower_ascii, stage
 
 ARITY = 16
 #: Runs of one window partition.
-RUNS = 256
+RUNS = 16
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 KEY = ["_known", "_source"]
 ALL = ["_all"]
