@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daybook.llm import (
     brown,
     decontaminate,
+    extraction,
     language,
     line_dedup,
     merkle,
@@ -216,3 +217,9 @@ def _merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_html")
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extraction.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
