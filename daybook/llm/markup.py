@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 from html import unescape
 
+import xxhash
+
 # Element names and attribute words with a known part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript iframe textarea title xmp noembed noframes".split())
@@ -59,6 +60,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SHUT = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 _DIGITS = re.compile(r"\d+")
 
 HARD, FORM = 1, 2
@@ -92,7 +94,7 @@ class _Element:
 
 
 def _hash(parent: int, label: str) -> int:
-    return int.from_bytes(blake2b(f"{parent} {label}".encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 2
+    return xxhash.xxh64_intdigest(label, parent) >> 2
 
 
 def _read(name: str, rest: str, above: _Element) -> tuple[str, int, int]:
@@ -142,16 +144,16 @@ def _close(stack: list[_Element], names: set[str], until: set[str] = frozenset()
 
 def tokens(html: str) -> Iterator[Token]:
     """All tokens of a page in order."""
-    stack, at, end = [_Element("", 0, 0, 0, False)], 0, len(html)
+    stack, at, end, search = [_Element("", 0, 0, 0, False)], 0, len(html), _TOKEN.search
     while at < end:
-        found = _TOKEN.search(html, at)
+        found = search(html, at)
         cut = found.start() if found else end
         if cut > at:
-            top, text = stack[-1], unescape(html[at:cut])
-            plain = " ".join(text.split())
-            if plain or text:
-                key = _hash(top.key, f"text {plain}") if plain else 0
-                yield Token(key, "", text, bool(top.aside), top.rank, top.link, 0)
+            top, text = stack[-1], html[at:cut]
+            text = unescape(text) if "&" in text else text
+            plain = text.split()
+            key = _hash(top.key, " ".join(["text", *plain])) if plain else 0
+            yield Token(key, "", text, bool(top.aside), top.rank, top.link, 0)
         if not found:
             return
         at = found.end()
@@ -176,7 +178,7 @@ def tokens(html: str) -> Iterator[Token]:
         made = _Element(name, key, inside, max(top.rank, rank), top.link or name == "a")
         yield Token(key, name, "", bool(made.aside), made.rank, made.link, 0 if made.aside else rank)
         if name in RAW:
-            shut = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
+            shut = _SHUT[name].search(html, at)
             at = shut.end() if shut else end
         elif name not in VOID:
             stack.append(made)
