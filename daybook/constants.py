@@ -101,6 +101,12 @@ VERDICT_NO_WIN = "no gana"
 VERDICT_NON_INFER = "no inferencial (n insuficiente)"
 VERDICT_EXCLUDED = "no analizable (sin solape val-test)"
 
+# Learning curve and parity control.
+CURVE_FRACTIONS = [0.25, 0.40, 0.55, 0.70, 0.85, 1.00]
+CURVE_SEEDS = [42, 1, 2]
+WHOLE_SEEDS = [3, 4]
+PARITY_SEEDS = [42, 1, 2, 3, 4]
+
 # Block ablation and parity control.
 ABLATION_SUBSETS = {
     "completo": FEATURE_GROUPS,

@@ -2,64 +2,45 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.ml.linalg import DenseVector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.constants import DEGENERATE_FOLD, MIN_INITIAL_TRAIN, N_FOLDS, SEQUENCE_WINDOW
-from daybook.operators.features import sequence_windows
+from daybook.models import gram
 from daybook.operators.guards import require_empty
 from daybook.operators.panel import KEYS
-from daybook.operators.scaling import minmax_fit
 from daybook.operators.splits import assign_folds, fold_clean_guard
-from daybook.session import concurrently, materialise
+from daybook.session import materialise
 
 
-def _width() -> Column:
-    width = F.col("total_max") - F.col("total_min")
-    return F.when(width == 0, F.lit(1.0)).otherwise(width)
+@dataclass(frozen=True)
+class WindowModel:
+    """Coefficients of the window (oldest day first), then of the other inputs, and the constant."""
 
+    coefficients: DenseVector
+    intercept: float
 
-def scaled_windows(rows: DataFrame, scaler: DataFrame, exog: list[str] = []) -> DataFrame:
-    """Window and target brought to the training range of their series, as a feature vector.
 
-    Columns in ``exog`` describe the forecast day and follow the window in the vector.
-    """
-    joined = rows.join(scaler, "series_id")
-    low, width = F.col("total_min"), _width()
-    window = F.transform("history", lambda v: (v.cast("double") - low) / width)
-    inputs = F.concat(window, F.array(*[F.col(c).cast("double") for c in exog])) if exog else window
-    return joined.withColumns(
-        {"features": array_to_vector(inputs), "label": (F.col("total") - low) / width}
-    )
-
-
-def fit_linear(training: DataFrame, elastic_net: float = 0.0, reg: float = 0.0) -> LinearRegressionModel:
-    """One pass over the training vectors: the normal equations are summed by the executors."""
-    learner = LinearRegression(regParam=reg, elasticNetParam=elastic_net, solver="auto")
-    return learner.fit(training.select("features", "label"))
-
-
-def predict_linear(model: LinearRegressionModel, vectors: DataFrame, out: str = "y_pred") -> DataFrame:
-    """Predictions in the units of the series."""
-    scaled = model.transform(vectors)
-    return scaled.withColumn(out, F.col("prediction") * _width() + F.col("total_min"))
+def train_cut(series: gram.Series) -> gram.Cut:
+    """One setting: the training rows."""
+    return gram.Cut(np.where(series["split"] == "train", 0, -1), [(0, 1)])
 
 
 def stage1_window(
     rows: DataFrame, width: int = SEQUENCE_WINDOW, exog: list[str] = []
-) -> tuple[LinearRegressionModel, DataFrame]:
+) -> tuple[WindowModel, DataFrame]:
     """Fit on the training rows of a labelled frame and predict every row with full history."""
-    keep = [*KEYS, "split", "total", *exog]
-    sequences = materialise(sequence_windows(rows.select(*keep), width), "windows")
-    train = sequences.where("split = 'train'")
-    scaler = materialise(minmax_fit(train, ["total"]), "scaler")
-    model = fit_linear(scaled_windows(train, scaler, exog))
-    predicted = predict_linear(model, scaled_windows(sequences, scaler, exog))
-    return model, predicted.select(*KEYS, "split", F.col("total").cast("double").alias("y_true"), "y_pred")
+    ordered = gram.in_order(rows.select(*KEYS, "split", "total", *exog))
+    beta = gram.solve(gram.sums(ordered, train_cut, width, exog)[0, 0], width)
+    predicted = gram.forecast(ordered, train_cut, width, [(0, beta)], exog)
+    value = F.col("forecasts")[0]
+    columns = [*KEYS, "split", F.col("total").cast("double").alias("y_true"), value.alias("y_pred")]
+    return WindowModel(DenseVector(beta[1:]), float(beta[0])), predicted.where(value.isNotNull()).select(*columns)
 
 
 def oof_predictions(
@@ -70,27 +51,22 @@ def oof_predictions(
 ) -> DataFrame:
     """Predictions of each training row by a model that ended before its block.
 
-    Windows and folds are written once; scaler and model of a fold see earlier folds only.
+    Fold f is fitted on the rows before its block: the sums of products of the blocks, added up
+    from the first, give all fits from one pass. Scaler and model of a fold see earlier rows only.
     """
     folded = assign_folds(training.select(*KEYS, "total"), n_folds, first)
+    require_empty(fold_clean_guard(folded).where("not is_clean"), "fold trained on later days")
+    rows = gram.in_order(materialise(folded, "folds"))
+
+    def earlier(series: gram.Series) -> gram.Cut:
+        return gram.Cut(np.maximum(series["fold"], 0).copy(), [(0, fold) for fold in range(1, n_folds + 1)])
+
+    found = gram.sums(rows, earlier, width)
+    fits = [(setting, gram.solve(products, width)) for (setting, _), products in sorted(found.items())]
+    predicted = gram.forecast(rows, earlier, width, fits, own=lambda series: series["fold"] - 1)
+    value = F.when(F.col("has_oof"), F.array_max("forecasts"))
     flags = ["fold", "has_oof", "exclusion_reason"]
-    rows = sequence_windows(folded.select(*KEYS, "total", *flags), width, keep_short=True)
-    rows = materialise(rows, "oof-windows")
-    usable = rows.where(F.size("history") == width)
-    require_empty(fold_clean_guard(rows).where("not is_clean"), "fold trained on later days")
-    blocks = [rows.where("not has_oof").withColumn("y_pred_oof", F.lit(None).cast("double"))]
-
-    def held_out(fold: int) -> DataFrame:
-        train = usable.where(F.col("fold") < fold)
-        scaler = minmax_fit(train, ["total"])
-        model = fit_linear(scaled_windows(train, scaler))
-        block = scaled_windows(usable.where(F.col("fold") == fold), scaler)
-        return predict_linear(model, block, "y_pred_oof")
-
-    blocks += concurrently(held_out, range(1, n_folds + 1))
-    columns = [*KEYS, "total", "pos", *flags, "y_pred_oof"]
-    stacked = reduce(DataFrame.unionByName, [b.select(*columns) for b in blocks])
-    return stacked.withColumnRenamed("total", "y_true")
+    return predicted.select(*KEYS, F.col("total").alias("y_true"), "pos", *flags, value.alias("y_pred_oof"))
 
 
 def residual_set(

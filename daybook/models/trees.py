@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 from itertools import product
 
@@ -12,11 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.constants import IRREGULAR_WEIGHT, PREFIX, SEED, TREE_GRID
-from daybook.functions import scoring
 from daybook.operators.panel import KEYS
 from daybook.operators.scaling import minmax_fit
 from daybook.operators.splits import internal_holdout
-from daybook.session import concurrently, shared_folder
+from daybook.session import concurrently, materialise, shared_folder
 
 
 def history_sources(names: list[str], values: list[str]) -> dict[str, str]:
@@ -89,29 +89,62 @@ def predict_trees(model: PipelineModel, rows: DataFrame, out: str = "y_pred") ->
     return scaled.withColumn(out, value).drop("prediction")
 
 
+def stored_vectors(rows: DataFrame, names: list[str], label: str = "label") -> DataFrame:
+    """Date, label and assembled features of all rows, written once for every fit that reads them."""
+    assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
+    return materialise(assembler.transform(rows.select("date", label, *names)).select("date", label, "features"), "vectors")
+
+
+def staged_errors(fit: DataFrame, held: DataFrame, params: dict, label: str, seed: int) -> list[tuple[float, float]]:
+    """Mean absolute and root mean squared error on held-out vectors after each tree of one fit."""
+    model = GBTRegressor(labelCol=label, featuresCol="features", seed=seed, **params).fit(fit)
+    scored = held.select("features", F.col(label).cast("double").alias(label))
+    absolute, squared = [model.evaluateEachIteration(scored, loss) for loss in ("absolute", "squared")]
+    return [(a, s**0.5) for a, s in zip(absolute, squared)]
+
+
 def chrono_grid_search(
-    training: DataFrame, names: list[str], candidates: list[dict], label: str = "label", seed: int = SEED
+    training: DataFrame,
+    names: list[str],
+    candidates: list[dict],
+    label: str = "label",
+    seed: int = SEED,
+    holdout_from: dt.date | None = None,
 ) -> tuple[dict, DataFrame]:
-    """Choose parameters on the last training days of every series; the result is the leaderboard.
+    """Choose parameters on the last training days; the result is the leaderboard of all candidates.
 
-    ``training`` should be a stored table: every candidate reads it. A few fits run at a time.
+    Candidates that differ in the number of trees alone share one fit of the largest: a boosted
+    model holds all shorter ones, so its error after n trees is that of the candidate with n trees.
+    ``holdout_from`` is the first held-out day where every series has the same days, a literal that
+    reaches the scan of the stored vectors; without it the last rows of each series are held out.
     """
-    marked = internal_holdout(training)
-    fit, held = marked.where("not is_holdout"), marked.where("is_holdout")
-
-    def score(numbered: tuple[int, dict]) -> DataFrame:
-        i, params = numbered
-        model = fit_trees(fit, names, params, label, seed=seed)
-        y, p = F.col(label), F.col("prediction")
-        errors = model.transform(held).agg(
-            scoring.mae(y, p).alias("holdout_mae"), scoring.rmse(y, p).alias("holdout_rmse")
-        )
-        tagged = [F.lit(float(v)).alias(k) for k, v in params.items()]
-        return errors.select(F.lit(i).cast("long").alias("candidate"), *tagged, "holdout_mae", "holdout_rmse")
-
-    board = reduce(DataFrame.unionByName, concurrently(score, enumerate(candidates)))
-    best = board.orderBy("holdout_mae", *candidates[0], "candidate").first()
-    return candidates[best["candidate"]], board
+    spark: SparkSession = training.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if holdout_from:
+        vectors = stored_vectors(training, names, label)
+        fit, held = [vectors.where(c) for c in (F.col("date") < holdout_from, F.col("date") >= holdout_from)]
+    else:
+        marked = internal_holdout(training)
+        fit, held = [stored_vectors(marked.where(c), names, label) for c in ("not is_holdout", "is_holdout")]
+    families: dict[tuple, list[int]] = {}
+    for i, params in enumerate(candidates):
+        shared = tuple(sorted((k, v) for k, v in params.items() if k != "maxIter"))
+        families.setdefault(shared, []).append(i)
+
+    def score(family: tuple[tuple, list[int]]) -> list[tuple[int, float, float]]:
+        shared, members = family
+        largest = max(candidates[i]["maxIter"] for i in members)
+        errors = staged_errors(fit, held, {**dict(shared), "maxIter": largest}, label, seed)
+        return [(i, *errors[candidates[i]["maxIter"] - 1]) for i in members]
+
+    found = sorted(row for rows in concurrently(score, families.items()) for row in rows)
+    keys = list(candidates[0])
+    rows = [(i, *[float(candidates[i][k]) for k in keys], *errors) for i, *errors in found]
+    schema = ", ".join(["candidate long", *[f"{k} double" for k in keys], "holdout_mae double", "holdout_rmse double"])
+    board = spark.createDataFrame(rows, schema)
+    best = min(rows, key=lambda r: (r[-2], *r[1 : 1 + len(keys)], r[0]))
+    return candidates[best[0]], board
 
 
 def importance_table(model: PipelineModel, spark: SparkSession) -> DataFrame:

@@ -189,6 +189,12 @@ def internal_holdout(training: DataFrame, fraction: float = HOLDOUT_FRACTION) ->
     return training.withColumn("is_holdout", rank > n - held)
 
 
+def holdout_start(first: dt.date, last: dt.date, fraction: float = HOLDOUT_FRACTION) -> dt.date:
+    """First held-out day of ``internal_holdout`` where every series has every day from first to last."""
+    n = (last - first).days + 1
+    return last - dt.timedelta(days=max(1, round(n * fraction)) - 1)
+
+
 def train_rows_tail(training: DataFrame, m: int) -> DataFrame:
     """The last ``m`` training rows of each series."""
     newest = Window.partitionBy("series_id").orderBy(F.col("date").desc())

@@ -13,9 +13,8 @@ from daybook.operators import features, reshape, scores, splits, verdicts
 from daybook.operators.panel import KEYS
 from daybook.plans import tables as T
 from daybook.plans.registry import query
-from daybook.plans.workspace import SMALL_TREES, Workspace, rounded
-
-QUERY_GRID = {"maxDepth": [2, 3], "maxIter": [5], "stepSize": [0.1], "minInstancesPerNode": [5]}
+from daybook.plans.sql import twin
+from daybook.plans.workspace import QUERY_GRID, Workspace, rounded
 
 
 def groups_of(ws: Workspace) -> dict[str, str]:
@@ -63,6 +62,29 @@ def oof_predictions(ws: Workspace) -> DataFrame:
     )
 
 
+@query(
+    "oof_coverage",
+    twin(
+        """SELECT series_id, fold, count(*) AS n_rows, CASE WHEN fold > 0 THEN count(*) ELSE 0 END AS n_pred,
+        min(date) AS first_date, max(date) AS last_date
+        FROM (SELECT series_id, date, CASE WHEN pos < 200 THEN -1
+            ELSE least(5, 1 + (pos - 200) // ((n - 200) // 5)) END::BIGINT AS fold
+          FROM (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS pos,
+              count(*) OVER (PARTITION BY series_id) AS n FROM baselines WHERE split = 'train'))
+        GROUP BY series_id, fold""",
+        "baselines",
+    ),
+)
+def oof_coverage(ws: Workspace) -> DataFrame:
+    """Rows and predictions of every series and fold, with the days they cover."""
+    return ws.oof.groupBy("series_id", "fold").agg(
+        F.count("*").alias("n_rows"),
+        F.count("y_pred_oof").alias("n_pred"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+    )
+
+
 @query("oof_fold_health")
 def oof_fold_health(ws: Workspace) -> DataFrame:
     """Log and health of the fitted folds."""
@@ -88,21 +110,17 @@ def residual_set(ws: Workspace) -> DataFrame:
 @query("tree_direct")
 def tree_direct(ws: Workspace) -> DataFrame:
     """Boosted trees on the target, tuned on the training tail and refitted on all of it."""
-    training = ws.pooled.where("split = 'train'")
-    best, _ = trees.chrono_grid_search(training, ws.feature_names, trees.grid(QUERY_GRID))
-    model = trees.fit_trees(training, ws.feature_names, best)
-    return scored(trees.predict_trees(model, ws.pooled))
+    return scored(trees.predict_trees(ws.direct_trees, ws.pooled))
 
 
 @query("chrono_grid_search")
 def chrono_grid_search(ws: Workspace) -> DataFrame:
-    training = ws.pooled.where("split = 'train'")
-    return rounded(trees.chrono_grid_search(training, ws.feature_names, trees.grid(QUERY_GRID))[1])
+    """Leaderboard of the tuning grid on the training tail."""
+    return rounded(ws.tuned[1])
 
 
 def importances(ws: Workspace) -> DataFrame:
-    model = trees.fit_trees(ws.pooled.where("split = 'train'"), ws.feature_names, SMALL_TREES)
-    return trees.importance_table(model, ws.spark)
+    return trees.importance_table(ws.direct_trees, ws.spark)
 
 
 @query("top_importances")
@@ -118,7 +136,7 @@ def importance_by_group(ws: Workspace) -> DataFrame:
 @query("tree_residual")
 def tree_residual(ws: Workspace) -> DataFrame:
     """Predicted residuals of validation and test rows, per series."""
-    corrections = ws.corrections(weighted=False)
+    corrections = ws.plain_corrections
     return rounded(
         corrections.groupBy("series_id").agg(
             F.count("*").alias("n"), F.avg("e_pred").alias("mean"), F.stddev_samp("e_pred").alias("sd")
@@ -128,7 +146,7 @@ def tree_residual(ws: Workspace) -> DataFrame:
 
 def hybrid(ws: Workspace, weighted: bool) -> DataFrame:
     stage1 = ws.stage1.where("split <> 'train'")
-    return trees.hybrid_combine(stage1, ws.corrections(weighted))
+    return trees.hybrid_combine(stage1, ws.corrections(weighted) if weighted else ws.plain_corrections)
 
 
 @query("hybrid_combine")
@@ -150,30 +168,45 @@ def window_comparison(ws: Workspace) -> DataFrame:
 
 @query("learning_curve")
 def learning_curve(ws: Workspace) -> DataFrame:
-    """Validation error against the share of training days, over two seeds."""
-    n_train = ws.bounds.days("train") - 28
-    params = {**SMALL_TREES, "maxIter": 3}
-    curve = studies.learning_curve(ws.pooled, ws.feature_names, params, [0.25, 0.55, 1.0], [42, 1], n_train)
-    return rounded(curve)
+    """Validation error of stage 1 against the share of training days, all fractions and runs."""
+    return rounded(ws.curve)
+
+
+@query(
+    "learning_curve_rows",
+    twin(
+        """SELECT fraction::DOUBLE AS fraction, seed::BIGINT AS seed, m AS train_rows, m - 28 AS train_sequences,
+        n_series * (date_diff('day', val_start, val_end) + 1) AS n
+        FROM (SELECT fraction, seed, round_even(fraction * (date_diff('day', train_start, train_end) + 1 - 28), 0)::BIGINT AS m,
+          val_start, val_end
+          FROM bounds, (SELECT unnest([0.25, 0.40, 0.55, 0.70, 0.85, 1.00]::DOUBLE[]) AS fraction) f,
+            (SELECT unnest([42, 1, 2, 3, 4]) AS seed) s
+          WHERE seed IN (42, 1, 2) OR fraction = 1),
+        (SELECT count(DISTINCT series_id) AS n_series FROM lines)""",
+        "bounds",
+        "lines",
+    ),
+)
+def learning_curve_rows(ws: Workspace) -> DataFrame:
+    """Rows, windows and validation pairs of every run of the learning curve."""
+    return ws.curve.select("fraction", "seed", "train_rows", "train_sequences", "n")
 
 
 @query("parity_control")
 def parity_control(ws: Workspace) -> DataFrame:
     """Verdicts on stage 1 with the features of the forecast day, against direct trees."""
-    univariate = studies.validation_mae(ws.stage1)
-    model = trees.fit_trees(ws.pooled.where("split = 'train'"), ws.feature_names, SMALL_TREES)
-    reference = studies.validation_mae(trees.predict_trees(model, ws.pooled))
-    names = [*calendar_names(), *fourier_names()]
-    days = ws.with_days(ws.panel.select(*KEYS, "total"), names)
-    rows = splits.eval_frame(days, ws.bounds)
-    scopes = {"calendario": calendar_names(), "exogeno": names}
-    runs = studies.parity_control(rows, scopes, univariate, reference, [28])
+    whole = ws.curve.where("fraction = 1")
+    univariate = whole.agg(F.median("val_MAE")).first()[0]
+    reference = studies.validation_mae(trees.predict_trees(ws.direct_trees, ws.pooled))
+    scopes = {"calendario": [*calendar_names(), *fourier_names()], "completo": ws.feature_names}
+    rows = ws.pooled.withColumn("total", F.col("y_true"))
+    runs = studies.parity_control(rows, scopes, univariate, reference)
     return rounded(verdicts.parity_verdicts(runs, univariate, reference))
 
 
 @query("block_ablation")
 def block_ablation(ws: Workspace) -> DataFrame:
     """Verdict per withheld feature block."""
-    candidates = [{**SMALL_TREES, "maxIter": 3}]
-    ablation = studies.block_ablation(ws.pooled, groups_of(ws), candidates)
+    candidates = trees.grid({**QUERY_GRID, "maxDepth": [3]})
+    ablation = studies.block_ablation(ws.pooled, groups_of(ws), candidates, holdout_from=ws.holdout_from)
     return rounded(verdicts.ablation_verdicts(ablation))

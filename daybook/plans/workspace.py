@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.models import arx, linear, trees
+from daybook.constants import WARMUP_DAYS
+from daybook.models import arx, linear, studies, trees
 from daybook.operators import features, reshape, scores, splits, subgroups
 from daybook.operators import panel as P
 from daybook.operators.panel import KEYS, Span
@@ -21,7 +24,8 @@ ANNUAL_TERMS = [
     "feat_fourier_annual_k2_cos",
 ]
 UPWEIGHTED = ["feat_day_type_festivo", "feat_day_type_domingo_festivo", "feat_is_bridge_day"]
-SMALL_TREES = {"maxDepth": 3, "maxIter": 5, "stepSize": 0.1, "minInstancesPerNode": 5}
+#: Grid of the registered queries; the operators take ``constants.TREE_GRID`` as their default.
+QUERY_GRID = {"maxDepth": [2, 3], "maxIter": [1, 2, 3, 4, 5], "stepSize": [0.1], "minInstancesPerNode": [5]}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -200,11 +204,34 @@ class Workspace:
         rows = trees.pooled_rows(self.labelled, self.feature_names, T.VALUES)
         return materialise(rows, "pooled")
 
+    @property
+    def holdout_from(self) -> dt.date:
+        """First day of the training tail that tuning holds out; the panel has every day."""
+        first, last = self.bounds.train
+        return splits.holdout_start(first + dt.timedelta(days=WARMUP_DAYS), last)
+
+    @cached_property
+    def tuned(self) -> tuple[dict, DataFrame]:
+        """Chosen parameters and leaderboard of the direct trees."""
+        training = self.pooled.where("split = 'train'")
+        return trees.chrono_grid_search(training, self.feature_names, trees.grid(QUERY_GRID), holdout_from=self.holdout_from)
+
+    @cached_property
+    def direct_trees(self) -> PipelineModel:
+        """The tuned direct trees, refitted on all training rows."""
+        return trees.fit_trees(self.pooled.where("split = 'train'"), self.feature_names, self.tuned[0])
+
     @cached_property
     def stage1(self) -> DataFrame:
         rows = splits.eval_frame(self.panel.select(*KEYS, "total"), self.bounds)
         return materialise(linear.stage1_window(rows)[1], "stage1")
 
+    @cached_property
+    def curve(self) -> DataFrame:
+        """Learning curve of stage 1: one row per fraction and run."""
+        rows = splits.eval_frame(self.panel.select(*KEYS, "total"), self.bounds)
+        return materialise(studies.learning_curve(rows, self.bounds.days("train") - WARMUP_DAYS), "curve")
+
     @cached_property
     def oof(self) -> DataFrame:
         return materialise(
@@ -213,20 +240,29 @@ class Workspace:
 
     @cached_property
     def residuals(self) -> DataFrame:
-        """Residual training set in pooled form: residuals scaled by the range of their series."""
+        """Stored residual training set in pooled form: residuals scaled by the range of their series."""
         oof = self.oof.select(*KEYS, "y_true", "y_pred_oof", "fold", "has_oof")
-        return linear.residual_set(oof, self.pooled, [*self.feature_names, "y_width"]).withColumn(
-            "label", F.col("residual") / F.col("y_width")
-        )
+        rows = linear.residual_set(oof, self.pooled, [*self.feature_names, "y_width"])
+        return materialise(rows.withColumn("label", F.col("residual") / F.col("y_width")), "residuals")
+
+    @cached_property
+    def residual_params(self) -> dict:
+        """Parameters of the residual trees, chosen on the last days of the residual set."""
+        first, last = self.residuals.agg(F.min("date"), F.max("date")).first()
+        start = splits.holdout_start(first, last)
+        return trees.chrono_grid_search(self.residuals, self.feature_names, trees.grid(QUERY_GRID), holdout_from=start)[0]
+
+    @cached_property
+    def plain_corrections(self) -> DataFrame:
+        return materialise(self.corrections(weighted=False), "corrections")
 
     def corrections(self, weighted: bool) -> DataFrame:
         """Predicted residuals of validation and test rows."""
-        training = materialise(self.residuals, "residuals")
-        weight = None
+        training, weight = self.residuals, None
         if weighted:
             training = training.withColumn("weight", trees.irregular_weight(UPWEIGHTED))
             weight = "weight"
-        model = trees.fit_trees(training, self.feature_names, SMALL_TREES, weight=weight)
+        model = trees.fit_trees(training, self.feature_names, self.residual_params, weight=weight)
         evaluated = model.transform(self.pooled.where("split <> 'train'"))
         return evaluated.select(*KEYS, (F.col("prediction") * F.col("y_width")).alias("e_pred"))
 

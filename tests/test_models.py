@@ -138,6 +138,25 @@ def test_grid_search_reads_the_training_tail(spark, pooled):
     assert len(trees.grid(TREE_GRID)) == 54
 
 
+def test_staged_errors_equal_fits_of_their_own(spark, pooled, bounds):
+    rows, names = pooled
+    training = rows.where("split = 'train'")
+    options = {"maxDepth": [2, 3], "maxIter": [2, 4, 7], "stepSize": [0.3], "minInstancesPerNode": [2]}
+    cut = training.agg(F.min("date"), F.max("date")).first()
+    start = splits.holdout_start(*cut)
+    board = trees.chrono_grid_search(training, names, trees.grid(options), holdout_from=start)[1].collect()
+    assert len(board) == 6
+    ranked = trees.chrono_grid_search(training, names, trees.grid(options))[1].collect()
+    assert np.allclose([tuple(r) for r in board], [tuple(r) for r in ranked])
+    for row in (board[0], board[4]):
+        params = {k: row[k] if k == "stepSize" else int(row[k]) for k in options}
+        alone = trees.fit_trees(training.where(F.col("date") < start), names, params)
+        held = alone.transform(training.where(F.col("date") >= start))
+        y, p = F.col("label"), F.col("prediction")
+        mae, rmse = held.agg(F.avg(F.abs(y - p)), F.sqrt(F.avg((y - p) ** 2))).first()
+        assert (row.holdout_mae, row.holdout_rmse) == pytest.approx((mae, rmse), rel=1e-9)
+
+
 def test_weights_and_hybrid_identity(spark, pooled, bounds, panel):
     df = spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "a int, b int")
     assert [r[0] for r in df.select(trees.irregular_weight(["a", "b"])).collect()] == [1.0, 3.0, 3.0]
