@@ -156,45 +156,47 @@ def unmatched_features(predictions: DataFrame, features: DataFrame) -> DataFrame
     return predictions.select(*KEYS).join(features.select(*KEYS), KEYS, "left_anti")
 
 
+def column_digest(column: Column, keys: list[str] = KEYS) -> Column:
+    """Digest of a column over all rows of an aggregate, whatever their order.
+
+    Every row gives a hash of its key and its value, and the hashes are merged by exclusive or, so
+    equal columns have equal digests and nothing overflows. Keys are unique.
+    """
+    return F.bit_xor(F.xxhash64(*keys, column.cast("double") + F.lit(0.0)))
+
+
 def leak_audit(
     df: DataFrame, features: list[str], same_day: list[str], parts: list[str], total: str = "total"
 ) -> DataFrame:
     """Look for same-day values in the feature matrix by comparing data, not names.
 
-    A non-constant feature equal to a same-day column wherever it is set is a leak, and so is
-    a set of parts that adds up to the target. One aggregate covers every pair.
+    A non-constant feature equal to a same-day column in every row is a leak, and so is a set of
+    parts that adds up to the target. Columns are compared by their digests over the rows in which
+    every feature is set (``n_rows`` of them), so one pass with one small value per column covers
+    all pairs, however many there are.
     """
+    whole = "+".join(parts)
+    columns = {c: F.col(c) for c in dict.fromkeys([*features, *same_day, total])} | {whole: part_total(parts)}
+    digests = [column_digest(column).alias(f"digest_{i}") for i, column in enumerate(columns.values())]
+    spans = [(F.max(f) > F.min(f)).alias(f"varies_{f}") for f in features]
+    seen = df.where(reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features]))
+    row = seen.agg(F.count("*").alias("n_rows"), *digests, *spans)
+    place = {c: f"digest_{i}" for i, c in enumerate(columns)}
 
-    def widest(expression: Column, name: str) -> Column:
-        return F.max(F.abs(expression)).cast("double").alias(name)
-
-    pairs = [(f, s) for f in features for s in same_day]
-    gaps = [widest(F.col(f) - F.col(s), f"gap_{i}") for i, (f, s) in enumerate(pairs)]
-    spans = [(F.max(f) - F.min(f)).cast("double").alias(f"span_{f}") for f in features]
-    part_gap = widest(part_total(parts) - F.col(total), "part_gap")
-    row = df.agg(*gaps, *spans, part_gap)
-    entries = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.lit(s).alias("source"),
-            F.col(f"gap_{i}").alias("max_gap"),
-            ((F.col(f"gap_{i}") == 0) & (F.col(f"span_{f}") > 0)).alias("is_leak"),
-        )
-        for i, (f, s) in enumerate(pairs)
-    ]
-    whole = F.struct(
-        F.lit("+".join(parts)).alias("feature"),
-        F.lit(total).alias("source"),
-        F.col("part_gap").alias("max_gap"),
-        (F.col("part_gap") == 0).alias("is_leak"),
-    )
-    return row.select(F.explode(F.array(*entries, whole)).alias("r")).select("r.*")
+    def entry(feature: str, source: str, varies: Column) -> Column:
+        alike = F.col(place[feature]) == F.col(place[source])
+        leak = F.coalesce(alike & varies, F.lit(False)).alias("is_leak")
+        return F.struct(F.lit(feature).alias("feature"), F.lit(source).alias("source"), "n_rows", leak)
+
+    entries = [entry(f, s, F.col(f"varies_{f}")) for f in features for s in same_day]
+    entries.append(entry(whole, total, F.lit(True)))
+    return row.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
 
 
 def require_no_leak(df: DataFrame, features: list[str], same_day: list[str]) -> None:
-    """Raise if a feature repeats a same-day column."""
+    """Raise if a feature repeats a same-day column, or if no row has all features to tell."""
     audit = leak_audit(df, features, same_day, same_day[:1], same_day[0])
-    only_features = audit.where(F.col("feature").isin(features) & F.col("is_leak"))
+    only_features = audit.where(F.col("feature").isin(features) & (F.col("is_leak") | (F.col("n_rows") == 0)))
     require_empty(only_features, "same-day values in the feature matrix")
 
 

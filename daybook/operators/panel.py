@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from daybook.constants import NO_HOLIDAY
 from daybook.functions.calendar import is_working
-from daybook.session import small_side
+from daybook.session import small_side, stored_if_sound
 
 KEYS = ["series_id", "date"]
 
@@ -123,6 +123,45 @@ def unify_sources(panel: DataFrame, exog: DataFrame, calendar: DataFrame, span:
     return fill_sentinel(joined.select(*lead, *rest), holidays)
 
 
+def unify_checked(
+    panel: DataFrame, exog: DataFrame, calendar: DataFrame, span: Span, name: str = "unified"
+) -> DataFrame:
+    """The unified panel as a stored stage, or an error that names what an inner join would hide.
+
+    Days of the panel that a date table lacks, repeated or missing days of a series and nulls are
+    counted while the stage is written. Days of a date table outside the panel are counted on that
+    table, which has at most ``span.n_days`` rows.
+    """
+    sources = {"exogenous": exog, "calendar": calendar}
+    outside = {
+        f"{label} days outside the panel": frame.where(~F.col("date").between(F.lit(span.start), F.lit(span.end))).count()
+        for label, frame in sources.items()
+    }
+    if any(outside.values()):
+        raise ValueError(f"{name}: {outside}")
+    joined = panel
+    for label, frame in sources.items():
+        joined = joined.join(small_side(frame.withColumn(f"_{label}", F.lit(True)), span.n_days), "date", "left")
+    before = F.lag("date").over(by_series())
+    steps = joined.withColumn("_step", F.datediff("date", before))
+    first = F.when(before.isNull(), F.datediff("date", F.lit(span.start)))
+    steps = steps.withColumn("_late", F.coalesce(first, F.lit(0)))
+    last = F.lead("date").over(by_series()).isNull() & (F.col("date") < F.lit(span.end))
+    steps = steps.withColumn("_short", last)
+    kept = [*KEYS, *[c for c in panel.columns if c not in KEYS]]
+    kept += [c for frame in sources.values() for c in frame.columns if c not in kept]
+    holidays = [c for c in ("holiday_type", "holiday_name") if c in kept]
+    filled = fill_sentinel(steps, holidays)
+    checks = {f"rows without {label} data": F.count_if(F.col(f"_{label}").isNull()) for label in sources}
+    checks["repeated days"] = F.count_if(F.col("_step") == 0)
+    checks["gaps"] = F.count_if((F.col("_step") > 1) | (F.col("_late") > 0) | F.col("_short"))
+    for c in kept:
+        source = next((label for label, frame in sources.items() if c in frame.columns and c != "date"), None)
+        present = F.col(f"_{source}").isNotNull() if source else F.lit(True)
+        checks[f"nulls in {c}"] = F.count_if(F.col(c).isNull() & present)
+    return stored_if_sound(filled, checks, name).select(*kept)
+
+
 def attach_features(predictions: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
     """Left-join feature columns onto predictions by series and date."""
     return predictions.join(features.select(*KEYS, *columns), KEYS, "left")

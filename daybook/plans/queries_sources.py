@@ -188,37 +188,33 @@ def domain_guard(ws: Workspace) -> DataFrame:
     return guards.domain_guard(T.table(ws.spark, ws.sf_dir, "lineitem"), "l_returnflag", ["A", "N"])
 
 
-_LEAK_FEATURES = [
-    *[f"feat_{c}_lag_{k}" for c in T.VALUES for k in (1, 7)],
-    "feat_total_roll_mean_7",
-    "feat_total_roll_mean_28",
-]
+_AUDITED = list(features.declared_groups(T.PARTS, T.EXOG))
+_SAME_DAY = [*T.VALUES, *T.EXOG]
+_LEAKS = ", ".join(
+    f"{{'feature': '{f}', 'source': '{s}', 'n_rows': n, 'is_leak': coalesce(alike_{i}_{j} AND varies_{i}, false)}}"
+    for i, f in enumerate(_AUDITED)
+    for j, s in enumerate(_SAME_DAY)
+)
 
 
 @query(
     "leak_audit",
     twin(
-        " UNION ALL ".join(
-            [
-                f"SELECT '{f}' AS feature, '{s}' AS source, {R(f'max(abs({f} - {s}))')} AS max_gap, "
-                f"max(abs({f} - {s})) = 0 AND max({f}) > min({f}) AS is_leak FROM history"
-                for f in _LEAK_FEATURES
-                for s in T.VALUES
-            ]
-            + [
-                "SELECT 'part_a+part_n+part_r', 'total', max(abs(part_a + part_n + part_r - total))::DOUBLE, "
-                "max(abs(part_a + part_n + part_r - total)) = 0 FROM history"
-            ]
-        ),
-        "history",
+        f"""SELECT unnest([{_LEAKS}, {{'feature': 'part_a+part_n+part_r', 'source': 'total', 'n_rows': n,
+          'is_leak': whole}}], recursive := true)
+        FROM (SELECT count(*) AS n, bool_and(part_a + part_n + part_r = total) AS whole,
+          {rows(*[f"max({f}) > min({f}) AS varies_{i}" for i, f in enumerate(_AUDITED)])},
+          {rows(*[f"bool_and({f} = {s}) AS alike_{i}_{j}" for i, f in enumerate(_AUDITED) for j, s in enumerate(_SAME_DAY)])}
+          FROM (SELECT f.*, {rows(*[f"x.{c}" for c in T.EXOG])} FROM features f JOIN exog x ON x.date = f.date)
+          WHERE {" AND ".join(f"{f} IS NOT NULL" for f in _AUDITED)})""",
+        "features",
+        "exog",
     ),
 )
 def leak_audit(ws: Workspace) -> DataFrame:
-    """Features against same-day columns: no feature leaks, the parts do."""
-    lagged = ws.panel.select(
-        *KEYS, *T.VALUES, *features.lag_columns(T.VALUES, [1, 7]), *features.rolling_columns()
-    )
-    return rounded(guards.leak_audit(lagged, _LEAK_FEATURES, T.VALUES, T.PARTS))
+    """Every feature against every same-day column: no feature leaks, the parts do."""
+    same_day = P.attach_calendar(ws.features, ws.exog.select("date", *T.EXOG), ws.span)
+    return guards.leak_audit(same_day, _AUDITED, _SAME_DAY, T.PARTS)
 
 
 @query(
@@ -409,8 +405,8 @@ def order_panel_integrity(ws: Workspace) -> DataFrame:
     "attach_features",
     twin(
         """SELECT t.series_id, t.date, split, total, seasonal_naive, day_type, feat_is_bridge_day
-        FROM wide t LEFT JOIN days d ON d.date = t.date""",
-        "wide",
+        FROM baselines t LEFT JOIN days d ON d.date = t.date""",
+        "baselines",
         "days",
     ),
 )

@@ -200,8 +200,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     "wide": (
         ["baselines", "weights"],
         """SELECT b.*, seasonal_naive * 0.5::DOUBLE + moving_average_28 * 0.5::DOUBLE AS ensemble_equal,
-            seasonal_naive * w_naive + moving_average_28 * w_mean AS ensemble_inverse_mae
-            FROM baselines b CROSS JOIN weights""",
+            seasonal_naive * (SELECT w_naive FROM weights) + moving_average_28 * (SELECT w_mean FROM weights)
+            AS ensemble_inverse_mae FROM baselines b""",
     ),
     "tidy": (
         ["wide"],

@@ -89,7 +89,7 @@ class Workspace:
     @cached_property
     def unified(self) -> DataFrame:
         exog = self.exog.drop("series_id")
-        return P.unify_sources(self.panel, exog, self.calendar.drop("calendar_id"), self.span)
+        return P.unify_checked(self.panel, exog, self.calendar.drop("calendar_id"), self.span)
 
     @cached_property
     def features(self) -> DataFrame:

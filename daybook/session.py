@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when its row bound is at most this many rows (110 years of days).
@@ -71,6 +71,21 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_if_sound(df: DataFrame, checks: dict[str, Column], name: str) -> DataFrame:
+    """Write a stage while its checks are observed, and read it back if all of them are zero.
+
+    A check counts offending rows. The counts are taken by the tasks that write, so no second scan
+    is needed; a stage with offenders is an error that names them all.
+    """
+    watch = Observation(f"{name}-{uuid.uuid4().hex}")
+    counts = [F.coalesce(count, F.lit(0)).alias(label) for label, count in checks.items()]
+    stored = materialise(df.observe(watch, *counts), name)
+    offenders = {label: n for label, n in watch.get.items() if n}
+    if offenders:
+        raise ValueError(f"{name}: {offenders}")
+    return stored
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for a broadcast join if ``max_rows``, its proven bound, is small enough.
 

@@ -7,8 +7,9 @@ from daybook.operators import features, guards
 from daybook.operators import panel as P
 from daybook.plans.tables import easter
 
+START = D0 = dt.date(2024, 1, 1)
+
 DAY = dt.timedelta(days=1)
-D0 = dt.date(2024, 1, 1)
 
 
 def test_daily_panel_survives_a_hot_series(spark):
@@ -132,3 +133,72 @@ def test_easter_dates():
         dt.date(2024, 3, 31),
         dt.date(2025, 4, 20),
     ]
+
+
+def unified_inputs(spark, make_panel):
+    panel = make_panel({1: [3, 1, 2, 4], 2: [5, 6, 7, 8]})
+    days = panel.select("date").distinct()
+    exog = days.withColumn("wind", F.dayofmonth("date") * 1.5)
+    calendar = days.select("date", F.lit("laborable").alias("day_type"), F.lit(None).cast("string").alias("holiday_type"))
+    return panel, exog, calendar, P.Span(START, START + dt.timedelta(days=3))
+
+
+def test_checked_unification_stores_what_the_join_gives(spark, make_panel):
+    panel, exog, calendar, span = unified_inputs(spark, make_panel)
+    stored = P.unify_checked(panel, exog, calendar, span)
+    plain = P.unify_sources(panel, exog, calendar, span)
+    assert stored.columns == plain.columns
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect()))
+    assert {r.holiday_type for r in stored.collect()} == {"none"}
+
+
+@pytest.mark.parametrize(
+    "fault, message",
+    [
+        ("exog lacks", "rows without exogenous data': 2"),
+        ("calendar lacks", "rows without calendar data': 2"),
+        ("calendar repeats", "repeated days': 2"),
+        ("panel repeats", "repeated days': 1"),
+        ("panel lacks", "gaps': 1"),
+        ("panel ends", "gaps': 1"),
+        ("panel begins", "gaps': 1"),
+        ("null", "nulls in wind': 2"),
+        ("outside", "exogenous days outside the panel': 1"),
+    ],
+)
+def test_checked_unification_names_what_is_wrong(spark, make_panel, fault, message):
+    panel, exog, calendar, span = unified_inputs(spark, make_panel)
+    second, last = F.lit(START + dt.timedelta(days=1)), F.lit(span.end)
+    one = F.col("series_id") == 1
+    if fault == "exog lacks":
+        exog = exog.where(F.col("date") != second)
+    elif fault == "calendar lacks":
+        calendar = calendar.where(F.col("date") != second)
+    elif fault == "calendar repeats":
+        calendar = calendar.union(calendar.where(F.col("date") == second))
+    elif fault == "panel repeats":
+        panel = panel.union(panel.where(one & (F.col("date") == second)))
+    elif fault == "panel lacks":
+        panel = panel.where(~(one & (F.col("date") == second)))
+    elif fault == "panel ends":
+        panel = panel.where(~(one & (F.col("date") == last)))
+    elif fault == "panel begins":
+        panel = panel.where(~(one & (F.col("date") == F.lit(span.start))))
+    elif fault == "null":
+        exog = exog.withColumn("wind", F.when(F.col("date") != second, F.col("wind")))
+    else:
+        exog = exog.union(spark.createDataFrame([(START - dt.timedelta(days=1), 1.0)], "date date, wind double"))
+    with pytest.raises(ValueError, match=message):
+        P.unify_checked(panel, exog, calendar, span)
+
+
+def test_leak_audit_sees_each_column_and_needs_complete_rows(spark, make_panel):
+    df = make_panel({1: [4, 2, 9, 3], 2: [1, 1, 2, 8]}).withColumns(
+        {"wind": F.col("total") * 0.5, "feat_wind": F.col("total") / 2, "feat_two": F.lit(2), "two": F.lit(2), "part": F.col("total")}
+    )
+    lagged = df.withColumn("feat_total_lag_1", F.lag("total").over(P.by_series()))
+    audit = guards.leak_audit(lagged, ["feat_wind", "feat_two", "feat_total_lag_1"], ["total", "wind", "two"], ["part"])
+    assert {(r.feature, r.source) for r in audit.where("is_leak").collect()} == {("feat_wind", "wind"), ("part", "total")}
+    assert {r.n_rows for r in audit.collect()} == {6}
+    with pytest.raises(ValueError, match="same-day values"):
+        guards.require_no_leak(lagged.withColumn("feat_total_lag_1", F.lit(None).cast("long")), ["feat_total_lag_1"], ["total"])
