@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.text import lower_ascii, words
+from daybook.llm.text import lower_ascii, stage, words
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -15,7 +15,8 @@ BLOCKS = 8
 # Sides of at most so many rows are broadcast; larger ones are joined by a shuffle.
 SMALL_ROWS = 400_000
 
-_LANES = 0x0001000100010001
+#: One bit in each of two 32-bit lanes.
+_LANES = 0x0000000100000001
 
 
 def _side(df: DataFrame, rows: int) -> DataFrame:
@@ -33,21 +34,30 @@ def _grams(width: str, column: str = "words") -> Column:
 def _fingerprint(grams: str) -> Column:
     """SimHash of an array of shingles, repeats counted.
 
-    Sixteen sums hold the counts of four bits each in 16-bit lanes, flushed by twos of 32,768.
+    Thirty-two sums hold the counts of two bits each in 32-bit lanes, so an array of any length that
+    Spark can hold is counted exactly. Shingles are hashed once.
     """
     hashes = f"transform({grams}, g -> xxhash64(g))"
     lanes = (
-        f"transform(sequence(0, 15), b -> aggregate({hashes}, 0L, "
+        "transform(sequence(0, 31), b -> aggregate(hashes, 0L, "
         f"(s, h) -> s + (shiftrightunsigned(h, b) & {_LANES}L)))"
     )
-    bit = f"(shiftrightunsigned(lanes[i % 16], 16 * int(i div 16)) & 65535) * 2 > size({grams})"
+    bit = f"(shiftrightunsigned(lanes[i % 32], 32 * int(i div 32)) & 4294967295L) * 2 > size({grams})"
     fold = f"aggregate(sequence(0, 63), 0L, (f, i) -> f | if({bit}, shiftleft(1L, i), 0L))"
-    return F.expr(f"transform(array({lanes}), lanes -> {fold})[0]")
+    return F.expr(f"transform(array({hashes}), hashes -> transform(array({lanes}), lanes -> {fold})[0])[0]")
 
 
 def _numbered(grams: str) -> Column:
-    """Shingles told apart by occurrence, so that set operations on them are weighted."""
-    counted = f"transform({grams}, (g, i) -> concat(g, ' #', size(filter(slice({grams}, 1, i + 1), x -> x = g))))"
+    """Shingles told apart by occurrence, so that set operations on them are weighted.
+
+    Sorted, equal shingles are neighbours; each run of them is numbered from its start.
+    """
+    starts = "filter(sequence(0, size(s) - 1), i -> NOT (s[i] <=> get(s, i - 1)))"
+    runs = (
+        "transform(starts, (a, k) -> transform(sequence(1, coalesce(get(starts, k + 1), size(s)) - a), "
+        "c -> concat(s[a], ' #', c)))"
+    )
+    counted = f"transform(array(array_sort({grams})), s -> transform(array({starts}), starts -> flatten({runs}))[0])[0]"
     plain = f"transform({grams}, g -> concat(g, ' #1'))"
     return F.expr(f"if(size(array_distinct({grams})) = size({grams}), {plain}, {counted})")
 
@@ -56,7 +66,9 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """``item_id, n, width, grams, fp`` of every item that has a word; ``n`` is its number of words."""
     items = benchmark.select("item_id", words(lower_ascii(F.col("text"))).alias("words")).where(F.size("words") > 0)
     items = items.select("item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(WIDTH)).alias("width"))
-    return items.withColumn("grams", _grams("width")).withColumn("fp", _fingerprint("grams"))
+    # written in between, or the optimiser puts the splitting of a text into the loop over its shingles
+    shingled = stage(stage(items, "items").withColumn("grams", _grams("width")), "shingles")
+    return shingled.withColumn("fp", _fingerprint("grams"))
 
 
 def contaminated(
@@ -90,21 +102,23 @@ def contaminated(
     anchors = anchors.distinct()
 
     read = docs.select("doc_id", F.xxhash64("text").alias("text_id"), words(lower_ascii(F.col("text"))).alias("words"))
-    at = read.select("doc_id", "text_id", "words", F.posexplode("words").alias("at", "word_here"))
-    here = F.expr("array_join(slice(words, at + 1, width), ' ')")
-    hits = at.join(
-        _side(anchors, chosen or 0), (F.col("word_here") == F.col("word")) & (here == F.col("gram"))
-    )
-    near = hits.groupBy("doc_id", "text_id", "n", "width").agg(
-        F.collect_set("at").alias("hits"), F.first("words").alias("words")
-    )
+    runs = F.expr(f"transform(words, (w, i) -> slice(words, i + 1, {WIDTH}))")
+    at = read.select("doc_id", "text_id", F.posexplode(runs).alias("at", "run"))
+    here = F.expr("array_join(slice(run, 1, width), ' ')")
+    hits = at.join(_side(anchors, chosen or 0), (F.col("run")[0] == F.col("word")) & (here == F.col("gram")))
+    near = hits.groupBy("doc_id", "text_id", "n", "width").agg(F.collect_set("at").alias("hits"))
+    near = near.withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_id", "_text")
+    same = (F.col("text_id") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    near = read.join(near, same).select("doc_id", "text_id", "n", "width", "hits", "words")
     starts = F.expr(
         "array_distinct(flatten(transform(hits, p -> sequence(greatest(0, p - (n - width)), "
         "least(p, greatest(size(words) - n, 0))))))"
     )
-    near = near.withColumn("doc_grams", _grams("width")).withColumn("starts", starts)
-    windows = near.select("doc_id", "text_id", "n", "width", "doc_grams", F.explode("starts").alias("start"))
-    windows = windows.withColumn("seen", F.expr("slice(doc_grams, start + 1, n - width + 1)")).drop("doc_grams")
+    near = near.withColumn("starts", starts)
+    # a window is cut from the words first, so that what follows costs its length alone
+    seen = "transform(starts, p -> struct(p AS start, slice(words, p + 1, n) AS window))"
+    windows = near.select("doc_id", "text_id", "n", "width", F.expr(f"inline({seen})"))
+    windows = windows.withColumn("seen", _grams("width", "window")).drop("window")
     windows = windows.withColumn("window_fp", _fingerprint("seen"))
 
     def blocks(fp: str) -> Column:
