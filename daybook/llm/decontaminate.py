@@ -102,23 +102,25 @@ def contaminated(
     anchors = anchors.distinct()
 
     read = docs.select("doc_id", F.xxhash64("text").alias("text_id"), words(lower_ascii(F.col("text"))).alias("words"))
-    runs = F.expr(f"transform(words, (w, i) -> slice(words, i + 1, {WIDTH}))")
-    at = read.select("doc_id", "text_id", F.posexplode(runs).alias("at", "run"))
-    here = F.expr("array_join(slice(run, 1, width), ' ')")
-    hits = at.join(_side(anchors, chosen or 0), (F.col("run")[0] == F.col("word")) & (here == F.col("gram")))
+    at = read.select("doc_id", "text_id", "words", F.posexplode("words").alias("at", "word_here"))
+    run = F.expr(f"slice(words, at + 1, {WIDTH})").alias("run")
+    if (chosen or 0) > SMALL_ROWS:  # rows are shuffled, so they carry no more than the words they need
+        at = at.select("doc_id", "text_id", "at", "word_here", run)
+        here = F.expr("array_join(slice(run, 1, width), ' ')")
+    else:
+        here = F.expr("array_join(slice(words, at + 1, width), ' ')")
+    hits = at.join(_side(anchors, chosen or 0), (F.col("word_here") == F.col("word")) & (here == F.col("gram")))
     near = hits.groupBy("doc_id", "text_id", "n", "width").agg(F.collect_set("at").alias("hits"))
-    near = near.withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_id", "_text")
+    near = stage(near.withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_id", "_text"), "hits")
     same = (F.col("text_id") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    near = read.join(near, same).select("doc_id", "text_id", "n", "width", "hits", "words")
+    near = read.join(_side(near, near.count()), same).select("doc_id", "text_id", "n", "width", "hits", "words")
     starts = F.expr(
         "array_distinct(flatten(transform(hits, p -> sequence(greatest(0, p - (n - width)), "
         "least(p, greatest(size(words) - n, 0))))))"
     )
-    near = near.withColumn("starts", starts)
-    # a window is cut from the words first, so that what follows costs its length alone
-    seen = "transform(starts, p -> struct(p AS start, slice(words, p + 1, n) AS window))"
+    near = near.withColumn("doc_grams", _grams("width")).withColumn("starts", starts)
+    seen = "transform(starts, p -> struct(p AS start, slice(doc_grams, p + 1, n - width + 1) AS seen))"
     windows = near.select("doc_id", "text_id", "n", "width", F.expr(f"inline({seen})"))
-    windows = windows.withColumn("seen", _grams("width", "window")).drop("window")
     windows = windows.withColumn("window_fp", _fingerprint("seen"))
 
     def blocks(fp: str) -> Column:
