@@ -85,14 +85,16 @@ def position(demand: Column, target: Column, start: Column, end: Column) -> Colu
     return 2 * share * mean / (start + inside)
 
 
-def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
+def mix(docs: DataFrame, plan: Curriculum = Curriculum(), carried: Column | None = None) -> DataFrame:
     """How often the mix takes each document, and when.
 
     Returns ``doc_id, source, size, source_size, target, taken, first_position, second_position``
-    per row. Documents of a source queue in the order of the MD5 of their doc_id (nulls first, then
-    size), once per epoch; one is taken in an epoch if the middle of its words lies within the
-    target, so a source's words miss its target by half a document at most. ``taken`` counts words,
-    ``repeats`` times the size at most; positions are times from 0 to 1, null where not taken.
+    per row, and ``carried`` where a column of ``docs`` is to travel along. Documents of a source
+    queue in the order of the MD5 of their doc_id (of the text, where there is none; then doc_id,
+    nulls first, then size), once per epoch; one is taken in an epoch if the middle of its words
+    lies within the target, so a source's words miss its target by half a document at most.
+    ``taken`` counts words, ``repeats`` times the size at most; positions are times from 0 to 1,
+    null where not taken.
 
     Running sums of a source of any size are taken in buckets of its queue of about ``bucket_rows``
     documents, plus the sums of the buckets before. Null text has size 0 and null source is a
@@ -100,10 +102,13 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     """
     if plan.repeats != 2:
         raise ValueError("positions are laid out for two epochs")
-    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")).cast("binary"))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mark.alias("mark"))
-    sized = stage(sized, "sizes")
-    rows = sized.count()
+    if carried is None:
+        sized = stage(sized, "sizes")
+    else:  # what travels along is read again, not stored twice
+        sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mark.alias("mark"), carried.alias("carried"))
+    rows = docs.count()
     buckets = max(1, -(-rows // plan.bucket_rows))
     head = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
     sized = sized.withColumn("bucket", F.floor(head * buckets / F.lit(1 << 32)).cast("long"))
@@ -136,6 +141,7 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
         (F.col("size") * (once.cast("long") + again.cast("long"))).alias("taken"),
         F.when(once, position(middle, *schedule)).alias("first_position"),
         F.when(again, position(middle + F.col("source_size"), *schedule)).alias("second_position"),
+        *(["carried"] if carried is not None else []),
     )
 
 
@@ -144,17 +150,16 @@ def training_order(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFram
 
     All columns of ``docs``, then ``size, source_size, target, taken, epoch, position``; a name that
     ``docs`` has already stays with ``docs`` and the new one gets ``mix_`` in front. Sorted by
-    position over ranges. Rows are matched by doc_id, so of rows repeating a doc_id one is used, and
-    a row without a doc_id is left out.
+    position over ranges. Each row travels whole through the mix and is taken for itself, so rows
+    that repeat a doc_id, or have none, are mixed like any other.
     """
-    taken = mix(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), plan)
+    taken = mix(docs, plan, F.struct(*docs.columns))
     both = F.array(
         F.struct(F.lit(1).alias("epoch"), F.col("first_position").alias("position")),
         F.struct(F.lit(2).alias("epoch"), F.col("second_position").alias("position")),
     )
-    slots = taken.select("doc_id", "size", "source_size", "target", "taken", F.inline(both))
-    slots = slots.where("position IS NOT NULL")
-    clash = {c: f"mix_{c}" for c in slots.columns if c in docs.columns and c != "doc_id"}
-    slots = slots.withColumnsRenamed(clash)
-    at = clash.get("position", "position")
-    return docs.dropDuplicates(["doc_id"]).join(slots, "doc_id").orderBy(at, "doc_id")
+    slots = taken.select("carried", "size", "source_size", "target", "taken", F.inline(F.filter(both, lambda x: x["position"].isNotNull())))
+    added = [c for c in slots.columns if c != "carried"]
+    named = {c: f"mix_{c}" if c in docs.columns else c for c in added}
+    mixed = slots.select("carried.*", *[F.col(c).alias(f"_mix_{c}") for c in added])
+    return mixed.orderBy("_mix_position", "doc_id").withColumnsRenamed({f"_mix_{c}": n for c, n in named.items()})

@@ -47,10 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 
 MIX_SQL = rf"""
-WITH sized AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents),
+WITH sized AS (
+  SELECT doc_id, source, len({WORDS}) AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS mark FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-    [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+    [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
+    ([1.5, 1.0, 0.5]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS ramp_start,
+    ([0.5, 1.0, 1.5]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS ramp_end
   FROM sized GROUP BY source),
 ranked AS (
   SELECT *, 2 * source_size AS most, 1.5 * sum(source_size) OVER ()::DOUBLE
@@ -63,26 +66,35 @@ level AS (
   SELECT remaining, rest FROM ranked WHERE remaining * weight / rest <= most
   ORDER BY most / weight, source NULLS LAST LIMIT 1),
 goals AS (
-  SELECT source, source_size,
+  SELECT source, source_size, ramp_start, ramp_end,
     least(coalesce((SELECT remaining FROM level) * weight / (SELECT rest FROM level), most::DOUBLE),
       most::DOUBLE) AS target
   FROM ranked),
 queued AS (
-  SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY sized.source
-      ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 AS middle
-  FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source)
+  SELECT doc_id, size, source_size, target, ramp_start, ramp_end,
+    (sum(size) OVER (PARTITION BY sized.source ORDER BY mark, doc_id NULLS FIRST, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE - size / 2.0::DOUBLE AS middle
+  FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source),
+slots AS (
+  SELECT *, CASE WHEN size > 0 AND middle <= target THEN middle / target END AS once,
+    CASE WHEN size > 0 AND middle + source_size <= target THEN (middle + source_size) / target END AS again,
+    (ramp_start + ramp_end) / 2 AS mean, ramp_end - ramp_start AS slope
+  FROM queued)
 SELECT doc_id, size, source_size, target,
-  (size * ((size > 0 AND middle <= target)::BIGINT
-    + (size > 0 AND middle + source_size <= target)::BIGINT))::BIGINT AS taken
-FROM queued
+  (size * ((once IS NOT NULL)::BIGINT + (again IS NOT NULL)::BIGINT))::BIGINT AS taken,
+  2 * once * mean / (ramp_start + sqrt(greatest(ramp_start * ramp_start + 2 * slope * once * mean, 0)))
+    AS first_position,
+  2 * again * mean / (ramp_start + sqrt(greatest(ramp_start * ramp_start + 2 * slope * again * mean, 0)))
+    AS second_position
+FROM slots
 """
 
 
 @query("op2_mixing", MIX_SQL)
 def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    columns = ["doc_id", "size", "source_size", "target", "taken", "first_position", "second_position"]
+    return mixed.select(*columns).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 @query("op7_simhash")
