@@ -153,6 +153,11 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; rows without a doc_id are kept."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """The documents that hold no benchmark item.
+
+    Rows are judged by doc_id and text, so a clean one stays though another with its doc_id goes,
+    and rows without a doc_id are judged as well. Null texts stay.
+    """
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text")).distinct()
+    same = (F.xxhash64("text") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    return docs.join(found, same, "left_anti")
