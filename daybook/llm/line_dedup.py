@@ -1,13 +1,12 @@
 """Line dedup: of documents that have a block of lines in common, the later ones give way.
 
-``overlaps`` finds every common block by its runs of lines; ``patience`` and ``common_blocks`` align two
-documents alone, and what they find is part of it.
+Hashed runs of lines tell which earlier documents a document has to meet. Each such pair is aligned
+by patience diff on the runs, and the aligned blocks are deleted from the later document.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,62 +22,66 @@ BLOCK_WORDS = 10
 SMALL_ROWS = 400_000
 
 
-def _anchors(a: list, b: list) -> list[tuple[int, int]]:
-    """Longest run of lines that are unique in both lists and stand in the same order."""
-    once = Counter(a)
-    there = Counter(b)
-    place = {x: j for j, x in enumerate(b) if there[x] == 1}
-    shared = [(i, place[x]) for i, x in enumerate(a) if once[x] == 1 and x in place]
-    piles: list[int] = []
+def chains(places: list[int]) -> list[list[int]]:
+    """Indices of ``places`` dealt into rising chains, the longest rising subsequence first.
+
+    The first chain is found by patience sorting: each place goes on the first pile whose top is not
+    smaller, and remembers the top of the pile before. What is left is moved text: each place
+    follows the chain whose end is the nearest below it, which needs the fewest chains.
+    """
     tops: list[int] = []
+    at_top: list[int] = []
     behind: list[int] = []
-    for number, (_, j) in enumerate(shared):
-        at = bisect_left(piles, j)
-        piles[at : at + 1] = [j]
-        tops[at : at + 1] = [number]
-        behind.append(tops[at - 1] if at else -1)
-    chain, at = [], tops[-1] if tops else -1
+    for number, place in enumerate(places):
+        at = bisect_left(tops, place)
+        tops[at : at + 1] = [place]
+        at_top[at : at + 1] = [number]
+        behind.append(at_top[at - 1] if at else -1)
+    longest, at = [], at_top[-1] if at_top else -1
     while at >= 0:
-        chain.append(shared[at])
+        longest.append(at)
         at = behind[at]
-    return chain[::-1]
-
-
-def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Matched positions of two lists in order: equal ends, then unique common lines, then between them."""
-    matched, work = [], [(0, len(a), 0, len(b))]
-    while work:
-        a0, a1, b0, b1 = work.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            matched.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            matched.append((a1, b1))
-        if a0 == a1 or b0 == b1:
-            continue
-        i0, j0 = a0, b0
-        chain = [(i + a0, j + b0) for i, j in _anchors(a[a0:a1], b[b0:b1])]
-        for i, j in chain:
-            matched.append((i, j))
-            work.append((i0, i, j0, j))
-            i0, j0 = i + 1, j + 1
-        if chain:
-            work.append((i0, a1, j0, b1))
-    return sorted(matched)
-
-
-def common_blocks(later: list, earlier: list, weights: list[int], least: int) -> list[tuple[int, int]]:
-    """Spans of lines of ``later`` that lie in one aligned block of ``least`` words or more."""
-    spans, start, end, last = [], 0, 0, -2
-    for i, j in [*patience(later, earlier), (len(later) + 1, -9)]:
-        if i == end and j == last + 1:
-            end, last = i + 1, j
+    found = [longest[::-1]] if longest else []
+    used = set(longest)
+    ends: list[int] = []  # ascending
+    owners: list[list[int]] = []
+    for number, place in enumerate(places):
+        if number in used:
             continue
-        if end > start and sum(weights[start:end]) >= least:
-            spans.append((start, end))
-        start, end, last = i, i + 1, j
-    return spans
+        at = bisect_left(ends, place) - 1
+        if at < 0:
+            owners.insert(0, [number])
+            ends.insert(0, place)
+            found.append(owners[0])
+        else:
+            owners[at].append(number)
+            ends[at] = place
+    return found
+
+
+def align(anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Aligned blocks ``(start, end, place)`` of a later document with one earlier one.
+
+    ``anchors`` are runs that both have: first line and end in the later one, first line in the
+    earlier one. Anchors of a chain that keep their distance and touch form one block.
+    """
+    longest: dict[tuple[int, int], int] = {}
+    for start, end, place in anchors:
+        longest[start, place] = max(end, longest.get((start, place), 0))
+    ordered = sorted((start, end, place) for (start, place), end in longest.items())
+    blocks: list[tuple[int, int, int]] = []
+    for chain in chains([place for _, _, place in ordered]):
+        start = end = place = -1
+        for number in chain:
+            s, e, p = ordered[number]
+            if start >= 0 and s <= end and p - s == place - start:
+                end = max(end, e)
+                continue
+            if start >= 0:
+                blocks.append((start, end, place))
+            start, end, place = s, e, p
+        blocks.append((start, end, place))
+    return blocks
 
 
 def _lines(text: Column) -> Column:
@@ -137,24 +140,55 @@ def _runs(docs: DataFrame, block_words: int) -> DataFrame:
     return held.mapInArrow(run, "doc_id long, text_id long, start int, end int, run long, check long")
 
 
-def overlaps(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, text_id, partners, spans``: what each document repeats of earlier ones.
-
-    A block is a run of consecutive lines of ``block_words`` words or more that some earlier document
-    has as well; all earlier documents count, and so do short and repeated lines. Every line of a
-    block lies in the shortest run of so many words from it on, or else in the shortest one up to the
-    end of the block, and both lie in the block. So the runs that have an earlier holder cover
-    exactly the blocks, and the smallest doc_id of each tells: rows are linear in lines whatever the size
-    of a group of copies. ``partners`` counts the earliest holders of the runs. Spans are line numbers
-    from 0, end exclusive, disjoint and in order.
+def alignments(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, text_id, earlier, blocks``: pairs of documents with the blocks aligned between them.
+
+    A block is a run of consecutive lines of ``block_words`` words or more that both documents have;
+    ``blocks`` are ``start, end, place``: line numbers from 0 in the later document, end exclusive,
+    and the first line in the earlier one.
+
+    * Every line of a block lies in the shortest run of so many words from it on, or else in the
+      shortest one up to the end of the block, and both lie in the block. So the runs that some
+      earlier document has cover exactly the blocks, short and repeated lines included.
+    * Each run leads to the earliest document that has it, and there to one of its places: a
+      partner stands for all other holders, and the rows are linear in lines whatever the size of a group.
+    * A document is aligned with each of its partners by patience diff, the runs being the anchors;
+      what moved is aligned in further chains, so every shared run ends up in a block.
+
+    Pairs are dealt by document and partner, so one that meets many partners is many small groups.
     """
     runs = _runs(docs, block_words)
-    first = runs.groupBy("run", "check").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"))
-    first = stage(first.where("earlier < last").select("run", "check", "earlier"), "runs")
+    first = runs.groupBy("run", "check").agg(
+        F.min("doc_id").alias("earlier"), F.min_by("start", "doc_id").alias("place"), F.max("doc_id").alias("last")
+    )
+    first = stage(first.where("earlier < last").drop("last"), "runs")
     few = F.broadcast(first) if first.count() <= SMALL_ROWS else first
     found = runs.join(few, ["run", "check"]).where("earlier < doc_id")
-    found = found.groupBy("doc_id", "text_id").agg(
-        F.size(F.collect_set("earlier")).cast("long").alias("partners"), F.collect_set(F.struct("start", "end")).alias("spans")
+    anchors = found.groupBy("doc_id", "text_id", "earlier").agg(F.collect_set(F.struct("start", "end", "place")).alias("anchors"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "place")]))
+        for batch in batches:
+            aligned = [
+                [{"start": s, "end": e, "place": p} for s, e, p in align([(a["start"], a["end"], a["place"]) for a in own])]
+                for own in batch.column("anchors").to_pylist()
+            ]
+            columns = [batch.column(c) for c in ("doc_id", "text_id", "earlier")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(aligned, kind)], ["doc_id", "text_id", "earlier", "blocks"])
+
+    block = "array<struct<start: int, end: int, place: int>>"
+    return anchors.mapInArrow(run, f"doc_id long, text_id long, earlier long, blocks {block}")
+
+
+def overlaps(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, text_id, partners, spans``: the lines of each document that its alignments delete.
+
+    ``partners`` counts the earlier documents it is aligned with. Spans are line numbers from 0, end
+    exclusive, disjoint and in order.
+    """
+    pairs = alignments(docs, block_words)
+    found = pairs.groupBy("doc_id", "text_id").agg(
+        F.count("*").alias("partners"), F.flatten(F.collect_list("blocks")).alias("spans")
     )
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +200,7 @@ def overlaps(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                     if own and span["start"] <= own[-1]["end"]:
                         own[-1]["end"] = max(own[-1]["end"], span["end"])
                     else:
-                        own.append(span)
+                        own.append({"start": span["start"], "end": span["end"]})
                 merged.append(own)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             columns = [batch.column(c) for c in ("doc_id", "text_id", "partners")]

@@ -127,11 +127,33 @@ def test_near_links_join_what_is_near(spark, block):
     assert all(find(a) == find(b) for a in values for b in values if (a ^ b).bit_count() <= 3)
 
 
-def test_patience_and_blocks():
-    a, b = list("abcxdefgyh"), list("abczdefgqh")
-    assert line_dedup.patience(a, b) == [(i, i) for i in range(10) if a[i] == b[i]]
-    assert line_dedup.common_blocks(a, b, [5] * 10, 15) == [(0, 3), (4, 8)]
-    assert line_dedup.common_blocks(a, a, [1] * 10, 11) == []
+def test_chains_are_rising_and_the_first_is_longest():
+    rng = random.Random(3)
+    for _ in range(200):
+        places = rng.choices(range(12), k=rng.randrange(0, 12))
+        found = line_dedup.chains(places)
+        assert sorted(i for c in found for i in c) == list(range(len(places)))
+        assert all(a < b and places[a] < places[b] for c in found for a, b in zip(c, c[1:]))
+        best = [0] * len(places)
+        for i in range(len(places)):
+            best[i] = 1 + max((best[j] for j in range(i) if places[j] < places[i]), default=0)
+        assert len(found[0] if found else []) == max(best, default=0)
+
+
+def test_aligned_blocks_join_touching_runs_and_keep_moved_ones():
+    assert line_dedup.align([(0, 2, 5), (1, 3, 6), (3, 5, 8)]) == [(0, 5, 5)]
+    assert line_dedup.align([(0, 2, 5), (4, 6, 9)]) == [(0, 2, 5), (4, 6, 9)]
+    assert sorted(line_dedup.align([(0, 2, 9), (2, 4, 0), (3, 5, 1)])) == [(0, 2, 9), (2, 5, 0)]
+    assert line_dedup.align([(0, 2, 1), (0, 3, 1)]) == [(0, 3, 1)]
+
+
+def test_alignments_name_partner_and_place(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, f"x\n{long}\ny"), (2, f"{long} more\nz"), (3, f"{long} more\nq\n{long}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.earlier): [tuple(b) for b in r.blocks] for r in line_dedup.alignments(docs).collect()}
+    assert found[3, 1] == [(2, 3, 1)] and found[3, 2] == [(0, 1, 0)]
+    assert set(found) == {(3, 1), (3, 2)}
 
 
 def test_line_dedup_cuts_later_documents_only(docs, corpus):
@@ -188,6 +210,18 @@ def test_mix_meets_its_targets(docs, corpus):
     assert all(abs(taken[s] - goal[s]) <= max(sizes) for s in goal)
 
 
+def test_rows_that_share_a_doc_id_are_mixed_and_cleaned_one_by_one(spark):
+    item = "zz yy xx ww vv uu tt ss"
+    rows = [(1, "a " * 30), (1, f"b c {item} d"), (None, "e f g"), (None, item), (2, "h " * 9), (2, "h " * 9), (3, None)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
+    order = mixing.training_order(docs, mixing.Curriculum(demand=2.0)).collect()
+    assert Counter((r.doc_id, r.text) for r in order) == Counter(r for r in rows if r[1] for _ in range(2))
+    assert all(r.size == len(r.text.split()) for r in order)
+    assert [r.position for r in order] == sorted(r.position for r in order)
+
+
 def test_vector_file_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(400)]
@@ -269,7 +303,9 @@ def test_awkward_rows_and_empty_tables(spark):
         assert decontaminate.clean(docs, items.limit(0)).count() == n
         assert mixing.mix(docs).count() == n
         assert "mix_size" in mixing.training_order(docs).columns
-        assert mixing.training_order(docs).where("doc_id IS NULL").count() == 0
+        order = mixing.training_order(docs)
+        assert order.where("doc_id IS NULL AND text IS NULL").count() == 0
+        assert order.columns[: len(docs.columns)] == docs.columns
         model, counts = brown.fit(docs.select("text"), brown.Settings(classes=3, single=4, endings=3, rounds=1))
         assert brown.score(docs.select("doc_id", "text"), model, counts).count() == n
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
