@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daybook.constants import DEGENERATE_MIN
 from daybook.functions.calendar import calendar_names, fourier_names
 from daybook.operators.features import feature_group
-from daybook.models import arx, studies, trees
+from daybook.models import arma, arx, studies, trees
 from daybook.operators import features, reshape, scores, splits, verdicts
 from daybook.operators.panel import KEYS
 from daybook.plans import tables as T
@@ -46,6 +46,18 @@ def order_search(ws: Workspace) -> DataFrame:
     return rounded(arx.candidate_orders(training).drop("beta"), 3)
 
 
+@query("seasonal_arma")
+def seasonal_arma(ws: Workspace) -> DataFrame:
+    """Metrics of the per-series regressions with moving-average terms."""
+    return scored(ws.arma[1].select(*KEYS, "split", F.col("total").alias("y_true"), F.col("seasonal_arma").alias("y_pred")))
+
+
+@query("arma_orders")
+def arma_orders(ws: Workspace) -> DataFrame:
+    """The order of every series, chosen among all (p, d, q)(P, D, Q), with its fit."""
+    return rounded(ws.arma[0].drop("beta"), 3)
+
+
 @query("stage1_window")
 def stage1_window(ws: Workspace) -> DataFrame:
     return scored(ws.stage1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.constants import WARMUP_DAYS
-from daybook.models import arx, linear, studies, trees
+from daybook.models import arma, arx, linear, studies, trees
 from daybook.operators import features, reshape, scores, splits, subgroups
 from daybook.operators import panel as P
 from daybook.operators.panel import KEYS, Span
@@ -271,3 +271,8 @@ class Workspace:
         days = features.calendar_features(self.calendar).withColumn("calendar_id", F.lit("default"))
         panel = self.panel.select(*KEYS, "total")
         return arx.seasonal_arx(panel, days, self.span, self.bounds)
+
+    @cached_property
+    def arma(self) -> tuple[DataFrame, DataFrame]:
+        days = features.calendar_features(self.calendar).withColumn("calendar_id", F.lit("default"))
+        return arma.seasonal_arma(self.panel.select(*KEYS, "total"), days, self.span, self.bounds)
