@@ -11,9 +11,8 @@ from pyspark.sql.window import Window
 
 from daybook.constants import FDR_Q, LJUNG_BOX_LAGS, MAX_LAG, NORMAL_975
 from daybook.functions.tails import chi_square_tail, correlation_p
-from daybook.operators.features import melt
 from daybook.operators.panel import KEYS, by_series
-from daybook.operators.scores import bh_adjust, rank_average
+from daybook.operators.scores import bh_adjust
 
 
 def acf_arrays(rows: DataFrame, column: str = "residual", max_lag: int = MAX_LAG) -> DataFrame:
@@ -173,41 +172,110 @@ def eliminate(names: list[str], gone: str, r: dict[frozenset, Column]) -> dict[f
     return out
 
 
+def null_patterns(rows: DataFrame, features: list[str], needed: list[str]) -> list[list[str]]:
+    """The features in groups that are null on the same rows, of those that have all of ``needed``.
+
+    Order-free sums of row hashes over the null rows tell the patterns apart, in one aggregate that
+    gives one row; equal sums of both hashes mean equal patterns.
+    """
+    complete = F.lit(True)
+    for name in needed:
+        complete = complete & F.col(name).isNotNull()
+    marks = [F.xxhash64(*KEYS), F.xxhash64(F.lit("again"), *KEYS)]
+    sums = [
+        F.sum(F.when(F.col(name).isNull(), mark).cast("decimal(38, 0)")).alias(f"{name}_{i}")
+        for name in features
+        for i, mark in enumerate(marks)
+    ]
+    found = rows.where(complete).agg(*sums).first()
+    groups: dict[tuple, list[str]] = {}
+    for name in features:
+        groups.setdefault((found[f"{name}_0"], found[f"{name}_1"]), []).append(name)
+    return list(groups.values())
+
+
+def masked_rank(column: str, counted: str, by: str = "series_id") -> Column:
+    """Average rank of a column among the rows of its series that ``counted`` marks with one.
+
+    Both windows of all masks over one column share a sort: the running count is taken in order of
+    the column, the ties among neighbours in the same order.
+    """
+    up_to = F.sum(counted).over(
+        Window.partitionBy(by).orderBy(column).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ties = F.sum(counted).over(Window.partitionBy(by, column))
+    return F.when(F.col(counted) == 1, up_to - (ties - 1) / F.lit(2.0))
+
+
 def rank_correlations(
     rows: DataFrame, features: list[str], controls: list[str], column: str = "residual"
 ) -> DataFrame:
     """Spearman correlation of the residual with every feature, raw and net of the controls.
 
-    Ranks are taken within a series, and for the features within series and feature, so no
-    group is longer than the calendar. All pairs among residual, feature and controls come
-    from one aggregate, the partial coefficient from eliminating the controls in turn.
+    A row counts for a feature if residual, controls and feature are all there; every rank is taken
+    among the rows that count, within a series. Features with nulls on the same rows share the ranks
+    of residual and controls, so there is one sort per column and no row is repeated. Average ranks
+    of n rows have mean (n + 1) / 2, so sums of products suffice: one wide aggregate, exact up to
+    2^53, gives all pairs of all features, and the partial coefficient follows by eliminating the
+    controls in turn. A feature without spread has null coefficients; without rows it gives none.
     """
-    ranked = rows
-    for name in [column, *controls]:
-        ranked = rank_average(ranked, ["series_id"], name, f"_r_{name}")
-    ids = [*KEYS, *[f"_r_{c}" for c in [column, *controls]]]
-    long = melt(ranked, ids, features, "feature", "_value").where(F.col("_value").isNotNull())
-    long = rank_average(long, ["series_id", "feature"], "_value", "_r_x")
-    names = {"y": f"_r_{column}", "x": "_r_x", **{f"c{i}": f"_r_{c}" for i, c in enumerate(controls)}}
-    keys = list(names)
-    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
-    table = long.groupBy("series_id", "feature").agg(
-        F.count("*").alias("n"),
-        *[F.corr(names[a], names[b]).alias(f"{a}_{b}") for a, b in pairs],
-    )
-    current = {frozenset(p): F.col(f"{p[0]}_{p[1]}") for p in pairs}
-    left = keys
-    for depth, gone in enumerate(k for k in keys if k not in ("x", "y")):
-        left = [k for k in left if k != gone]
+    patterns = null_patterns(rows, features, [column, *controls])
+    own = [column, *controls]
+    masked = rows.select("series_id", *own, *features)
+    for g, group in enumerate(patterns):
+        there = F.col(group[0]).isNotNull()
+        for name in own:
+            there = there & F.col(name).isNotNull()
+        masked = masked.withColumn(f"_m{g}", there.cast("int"))
+    sets = range(len(patterns))
+    for i, name in enumerate(own):
+        masked = masked.withColumns({f"_o{i}_{g}": masked_rank(name, f"_m{g}") for g in sets}).drop(name)
+    place = {name: g for g, group in enumerate(patterns) for name in group}
+    for i, name in enumerate(features):
+        masked = masked.withColumn(f"_x{i}", masked_rank(name, f"_m{place[name]}")).drop(name)
+
+    def product(a: str, b: str) -> Column:
+        return F.sum(F.col(a) * F.col(b))
+
+    variables = range(len(own))
+    sums = {f"n_{g}": F.sum(f"_m{g}") for g in sets}
+    sums |= {f"o{i}_{j}_{g}": product(f"_o{i}_{g}", f"_o{j}_{g}") for g in sets for i in variables for j in variables if i <= j}
+    for k, name in enumerate(features):
+        sums |= {f"x{k}_{i}": product(f"_x{k}", f"_o{i}_{place[name]}") for i in variables}
+        sums[f"x{k}"] = product(f"_x{k}", f"_x{k}")
+    table = masked.groupBy("series_id").agg(*[total.alias(label) for label, total in sums.items()])
+
+    pairs = [(i, j) for i in variables for j in variables if i <= j]
+    lines = []
+    for k, name in enumerate(features):
+        g = place[name]
+        fields = {"feature": F.lit(name), "n": F.col(f"n_{g}"), "xx": F.col(f"x{k}")}
+        fields |= {f"x{i}": F.col(f"x{k}_{i}") for i in variables}
+        fields |= {f"o{i}_{j}": F.col(f"o{i}_{j}_{g}") for i, j in pairs}
+        lines.append(F.struct(*[value.alias(label) for label, value in fields.items()]))
+    table = table.select("series_id", F.explode(F.array(*lines)).alias("_")).select("series_id", "_.*").where("n > 0")
+
+    centre = F.col("n") * ((F.col("n") + 1) / F.lit(2.0)) * ((F.col("n") + 1) / F.lit(2.0))
+    spread = {"x": F.col("xx") - centre} | {f"o{i}": F.col(f"o{i}_{i}") - centre for i in variables}
+
+    def correlation(a: str, b: str, products: Column) -> Column:
+        return F.try_divide(products - centre, F.sqrt(spread[a] * spread[b]))
+
+    current = {frozenset(("x", f"o{i}")): correlation("x", f"o{i}", F.col(f"x{i}")) for i in variables}
+    for i, j in pairs:
+        if i < j:
+            current[frozenset((f"o{i}", f"o{j}"))] = correlation(f"o{i}", f"o{j}", F.col(f"o{i}_{j}"))
+    left = ["x", *[f"o{i}" for i in variables]]
+    raw = current[frozenset(("x", "o0"))]
+    table = table.withColumns({"spearman_raw": raw} | {f"r_{p}": value for p, value in enumerate(current.values())})
+    current = {pair: F.col(f"r_{p}") for p, pair in enumerate(current)}
+    for depth, gone in enumerate(f"o{i}" for i in variables[1:]):
+        left = [v for v in left if v != gone]
         held = eliminate(left, gone, current)
         table = table.withColumns({f"s{depth}_{i}": value for i, value in enumerate(held.values())})
         current = {pair: F.col(f"s{depth}_{i}") for i, pair in enumerate(held)}
     return table.select(
-        "series_id",
-        "feature",
-        "n",
-        F.col("y_x").alias("spearman_raw"),
-        current[frozenset(("y", "x"))].alias("spearman_partial"),
+        "series_id", "feature", "n", "spearman_raw", current[frozenset(("x", "o0"))].alias("spearman_partial")
     )
 
 

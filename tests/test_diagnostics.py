@@ -100,6 +100,46 @@ def test_partial_correlation_collapses_when_the_season_is_held(spark):
         assert 0 <= got[name]["p_partial"] <= 1
 
 
+def test_rank_correlations_rank_the_rows_that_count(spark):
+    rng = np.random.default_rng(21)
+    names = ["residual", "a", "b", "same", "flat", "empty", "c0", "c1"]
+    rows = []
+    for series_id in (1, 2):
+        for k in range(90):
+            v = dict(zip(names, [float(x) for x in rng.integers(0, 12, len(names))]))  # many ties
+            v |= {"flat": 3.0, "empty": None, "c0": v["c0"] + k / 9}
+            if k % 5 == 0:
+                v |= {"b": None, "same": None}
+            if k % 7 == 3:
+                v["a"] = None
+            if k == 11:
+                v["residual"] = None
+            if k == 12:
+                v["c1"] = None
+            rows.append((series_id, k, *[v[n] for n in names]))
+    schema = "series_id bigint, k int, " + ", ".join(f"{n} double" for n in names)
+    df = spark.createDataFrame(rows, schema).withColumn("date", F.expr("date_add(date'2024-01-01', k)"))
+    features, controls = ["a", "b", "same", "flat", "empty"], ["c0", "c1"]
+    assert spectra.null_patterns(df, features, ["residual", *controls]) == [["a"], ["b", "same"], ["flat"], ["empty"]]
+    table = spectra.rank_correlations(df, features, controls)
+    got = {(r["series_id"], r["feature"]): r for r in table.collect()}
+    assert len(got) == 8  # no row counts for "empty"
+    whole = df.toPandas()
+    for (series_id, feature), row in got.items():
+        use = whole[whole.series_id == series_id][["residual", feature, *controls]].dropna().rank()
+        assert row["n"] == len(use)
+        if feature == "flat":
+            assert row["spearman_raw"] is None and row["spearman_partial"] is None
+            continue
+        assert row["spearman_raw"] == pytest.approx(use.corr().iloc[0, 1], abs=1e-12)
+        inverse = np.linalg.inv(use.corr().to_numpy())
+        expected = -inverse[0, 1] / np.sqrt(inverse[0, 0] * inverse[1, 1])
+        assert row["spearman_partial"] == pytest.approx(expected, abs=1e-9)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    first_join = plan.index("Aggregate [series_id")
+    assert "Generate" not in plan[first_join:] and "Expand" not in plan  # rows are not multiplied
+
+
 def test_mad_reads_training_rows_only(make_panel):
     values = [0] * 140 + [10**6] * 60
     panel = make_panel({1: values})
