@@ -90,6 +90,11 @@ CALENDAR_RATIO_STRUCTURE_MIN = 2.0
 CALENDAR_RATIO_WHITE_MAX = 1.3
 EXOG_PARTIAL_RHO_MIN = 0.15
 EXOG_MIN_SIGNIFICANT = 5
+# Formats of the figures beside each verdict.
+MEMORY_STATISTIC = "max |ACF| lags 1-%d = %.3f (lag %d, %s de banda); %d/%d lags fuera de banda"
+WEEK_STATISTIC = "ACF(7) = %.3f; pico espectral periodo-7 = %.1fx cuota media; dispersion de medias por dia = %.2f sigma"
+CALENDAR_STATISTIC = "|residuo| festivo / laborable-ordinario = %.2fx"
+EXOG_STATISTIC = "%d variables con |rho parcial| >= %.2f y significativas tras BH (q=%.1f)"
 VERDICT_STRUCTURE = "estructura persiste"
 VERDICT_WHITE = "ruido cuasi-blanco"
 VERDICT_AMBIGUOUS = "estructura debil/ambigua"

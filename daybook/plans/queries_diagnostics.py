@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.constants import MAX_LAG, SUBGROUPS
+from daybook import constants as K
+from daybook.constants import FDR_Q, MAX_LAG, SUBGROUPS
 from daybook.operators import features, reports, residuals, scores, spectra, subgroups, verdicts
 from daybook.operators import panel as P
 from daybook.operators.panel import KEYS
@@ -83,7 +84,23 @@ def ljung_box_statistic(ws: Workspace) -> DataFrame:
     return rounded(spectra.ljung_box_statistic(ws.stage1_like))
 
 
-@query("ljung_box")
+# Tails by Simpson's rule: the chi-square of odd and even degrees alike, and the cosine power whose
+# integral is that of the t distribution; both independent of the continued fractions they check.
+_STEPS = 2000
+_SIMPSON = f"CASE WHEN j IN (0, {_STEPS}) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END"
+
+
+@query(
+    "ljung_box",
+    twin(
+        f"""SELECT series_id, lag, {R("any_value(lb_stat)")} AS lb_stat,
+        {R(f"1 - sum({_SIMPSON} * 2 * pow(u, lag - 1) * exp(-u * u / 2) / (pow(2, lag / 2.0::DOUBLE) * gamma(lag / 2.0::DOUBLE))) * any_value(top) / (3.0::DOUBLE * {_STEPS})")}
+        AS lb_pvalue FROM (SELECT *, j * top / {_STEPS} AS u FROM (
+        SELECT *, least(sqrt(lb_stat), 40.0::DOUBLE) AS top, unnest(range(0, {_STEPS + 1})) AS j FROM ({_LJUNG})))
+        GROUP BY series_id, lag""",
+        "acf",
+    ),
+)
 def ljung_box(ws: Workspace) -> DataFrame:
     return rounded(spectra.ljung_box(ws.stage1_like))
 
@@ -196,20 +213,123 @@ def rank_correlations(ws: Workspace) -> DataFrame:
     return rounded(spectra.rank_correlations(exog_rows(ws), EXOG_FEATURES, ANNUAL_TERMS), 5)
 
 
-@query("partial_spearman")
+def _tested_sql() -> str:
+    """The coefficients with p-values and adjusted p-values of each series."""
+    dof = f"n - 2 - (CASE WHEN net THEN {len(ANNUAL_TERMS)} ELSE 0 END)"
+    return f"""{_partial_sql()}, sides AS (
+        SELECT series_id, feature, false AS net, n, raw AS r FROM s4
+        UNION ALL SELECT series_id, feature, true, n, y_x FROM s4),
+        steps AS (SELECT *, {dof} - 1 AS power, asin(abs(r)) AS low, unnest(range(0, {_STEPS + 1})) AS j FROM sides),
+        tails AS (SELECT series_id, feature, net, least(1, any_value(pi() / 2 - low) / (3.0::DOUBLE * {_STEPS})
+        * sum({_SIMPSON} * pow(greatest(0, cos(low + j * (pi() / 2 - low) / {_STEPS})), power))
+        * exp(lgamma(any_value(power) / 2.0::DOUBLE + 1) - lgamma(any_value(power) / 2.0::DOUBLE + 0.5)) * 2 / sqrt(pi())) AS p
+        FROM steps GROUP BY series_id, feature, net),
+        pvalues AS (SELECT series_id, feature, max(p) FILTER (NOT net) AS p_raw, max(p) FILTER (net) AS p_partial
+        FROM tails GROUP BY series_id, feature),
+        tested AS (SELECT series_id, feature, n, raw, y_x AS part, p_raw, p_partial, least(1, min(p_partial * m / i) OVER (
+        PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM (
+        SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p_partial, feature) AS i,
+        count(p_partial) OVER (PARTITION BY series_id) AS m FROM s4 JOIN pvalues USING (series_id, feature)))"""
+
+
+_TESTED_COLUMNS = rows(
+    "series_id, feature, n",
+    f"{R('raw')} AS spearman_raw, {R('part')} AS spearman_partial",
+    f"{R('p_raw')} AS p_raw, {R('p_partial')} AS p_partial, {R('p_adj')} AS p_adj_bh, p_adj <= {FDR_Q}::DOUBLE AS significant",
+)
+_EXOG_PARTS = ("resid", "days", "exog_features")
+
+
+@query("partial_spearman", twin(f"{_tested_sql()} SELECT {_TESTED_COLUMNS} FROM tested", *_EXOG_PARTS))
 def partial_spearman(ws: Workspace) -> DataFrame:
     """The coefficients with p-values and the false-discovery decision."""
     return rounded(spectra.partial_spearman(exog_rows(ws), EXOG_FEATURES, ANNUAL_TERMS))
 
 
-@query("report_top_correlations")
+@query(
+    "report_top_correlations",
+    twin(
+        f"""{_tested_sql()} SELECT {_TESTED_COLUMNS}, position FROM (SELECT *, row_number() OVER (
+        PARTITION BY series_id ORDER BY abs(part) DESC NULLS LAST, feature) AS position FROM tested) WHERE position <= 10""",
+        *_EXOG_PARTS,
+    ),
+)
 def report_top_correlations(ws: Workspace) -> DataFrame:
     return rounded(
         reports.top_correlations(spectra.partial_spearman(exog_rows(ws), EXOG_FEATURES, ANNUAL_TERMS))
     )
 
 
-@query("acceptance_verdicts")
+def _acceptance_sql() -> str:
+    """Facts of every series and the rules over them."""
+
+    def answer(question: str, statistic: str, value: str, structure: float, white: float, rules: tuple[str, str]) -> str:
+        return f"""SELECT series_id, '{question}' AS question, {statistic} AS statistic, {R(value)} AS value,
+            {float(structure)}::DOUBLE AS threshold_structure, {float(white)}::DOUBLE AS threshold_white,
+            CASE WHEN {rules[0]} THEN '{K.VERDICT_STRUCTURE}' WHEN {rules[1]} THEN '{K.VERDICT_WHITE}'
+            ELSE '{K.VERDICT_AMBIGUOUS}' END AS verdict FROM facts"""
+
+    calendar = """avg(abs(y_true - y_pred)) FILTER (day_type = 'festivo') / nullif(avg(abs(y_true - y_pred))
+        FILTER (day_type = 'laborable' AND feat_is_bridge_day <> 1), 0)"""
+    strong = f"p_adj <= {FDR_Q}::DOUBLE AND abs(part) >= {K.EXOG_PARTIAL_RHO_MIN}"
+    answers = [
+        answer(
+            "Memoria temporal (ACF/PACF)",
+            f"printf('{K.MEMORY_STATISTIC}', {MAX_LAG}, max_acf, max_lag, CASE WHEN max_outside THEN 'fuera' ELSE 'dentro' END, n_outside, {MAX_LAG})",
+            "max_acf",
+            K.ACF_STRUCTURE_MIN,
+            K.ACF_WHITE_MAX,
+            (
+                f"max_acf >= {K.ACF_STRUCTURE_MIN} AND max_outside",
+                f"max_acf < {K.ACF_WHITE_MAX} AND n_outside <= {K.BAND_EXCEEDANCE_WHITE_MAX}",
+            ),
+        ),
+        answer(
+            "Estacionalidad semanal",
+            f"printf('{K.WEEK_STATISTIC}', acf7, peak7, spread)",
+            "abs(acf7)",
+            K.ACF_STRUCTURE_MIN,
+            K.ACF_WHITE_MAX,
+            (
+                f"abs(acf7) >= {K.ACF_STRUCTURE_MIN} AND peak7 >= {K.SPECTRAL_PEAK_RATIO_MIN} AND spread >= {K.WEEKDAY_SPREAD_STRUCTURE_MIN}",
+                f"abs(acf7) < {K.ACF_WHITE_MAX} AND peak7 < {K.SPECTRAL_PEAK_RATIO_MIN} AND spread < {K.WEEKDAY_SPREAD_WHITE_MAX}",
+            ),
+        ),
+        answer(
+            "Concentracion en calendario",
+            f"printf('{K.CALENDAR_STATISTIC}', ratio)",
+            "ratio",
+            K.CALENDAR_RATIO_STRUCTURE_MIN,
+            K.CALENDAR_RATIO_WHITE_MAX,
+            (f"ratio >= {K.CALENDAR_RATIO_STRUCTURE_MIN}", f"ratio < {K.CALENDAR_RATIO_WHITE_MAX}"),
+        ),
+        answer(
+            "Senal meteorologica (parcial, BH)",
+            f"printf('{K.EXOG_STATISTIC}', n_strong, {K.EXOG_PARTIAL_RHO_MIN}::DOUBLE, {FDR_Q}::DOUBLE)",
+            "n_strong",
+            K.EXOG_MIN_SIGNIFICANT,
+            0,
+            (f"n_strong >= {K.EXOG_MIN_SIGNIFICANT}", "n_strong = 0"),
+        ),
+    ]
+    return f"""{_tested_sql()} {_PERIODOGRAM},
+        memory AS (SELECT series_id, max(abs(acf)) AS max_acf, arg_max(lag, abs(acf)) AS max_lag,
+        arg_max(abs(acf) > band, abs(acf)) AS max_outside, count(*) FILTER (abs(acf) > band) AS n_outside,
+        max(acf) FILTER (lag = 7) AS acf7 FROM acf_band GROUP BY series_id),
+        weekly AS (SELECT series_id, max(coalesce(mean_residual / nullif(sigma, 0), 0))
+        - min(coalesce(mean_residual / nullif(sigma, 0), 0)) AS spread FROM weekdays GROUP BY series_id),
+        peaks AS (SELECT series_id, arg_min(share, abs(period - 7)) * count(*) AS peak7 FROM spectrum GROUP BY series_id),
+        concentration AS (SELECT series_id, {calendar} AS ratio FROM resid_days GROUP BY series_id),
+        signal AS (SELECT series_id, count(*) FILTER ({strong}) AS n_strong FROM tested GROUP BY series_id),
+        facts AS (SELECT * FROM memory JOIN weekly USING (series_id) JOIN peaks USING (series_id)
+        JOIN concentration USING (series_id) JOIN signal USING (series_id))
+        {" UNION ALL ".join(answers)}"""
+
+
+@query(
+    "acceptance_verdicts",
+    twin(_acceptance_sql(), *_EXOG_PARTS, "acf_band", "centred", "weekdays", "resid_days"),
+)
 def acceptance_verdicts(ws: Workspace) -> DataFrame:
     rows_ = ws.with_days(ws.stage1_like, ["weekday_es", *CALENDAR_COLUMNS])
     return rounded(
