@@ -11,8 +11,10 @@ from pyspark.sql.window import Window
 
 from daybook.constants import FDR_Q, LJUNG_BOX_LAGS, MAX_LAG, NORMAL_975
 from daybook.functions.tails import chi_square_tail, correlation_p
+from daybook.operators.features import melt
 from daybook.operators.panel import KEYS, by_series
-from daybook.operators.scores import bh_adjust
+from daybook.operators.scores import bh_adjust, rank_average
+from daybook.session import materialise, small_side
 
 
 def acf_arrays(rows: DataFrame, column: str = "residual", max_lag: int = MAX_LAG) -> DataFrame:
@@ -181,7 +183,8 @@ def null_patterns(rows: DataFrame, features: list[str], needed: list[str]) -> li
     complete = F.lit(True)
     for name in needed:
         complete = complete & F.col(name).isNotNull()
-    marks = [F.xxhash64(*KEYS), F.xxhash64(F.lit("again"), *KEYS)]
+    keys = [k for k in KEYS if k in rows.columns]
+    marks = [F.xxhash64(*keys), F.xxhash64(F.lit("again"), *keys)]
     sums = [
         F.sum(F.when(F.col(name).isNull(), mark).cast("decimal(38, 0)")).alias(f"{name}_{i}")
         for name in features
@@ -245,15 +248,29 @@ def rank_correlations(
         sums[f"x{k}"] = product(f"_x{k}", f"_x{k}")
     table = masked.groupBy("series_id").agg(*[total.alias(label) for label, total in sums.items()])
 
-    pairs = [(i, j) for i in variables for j in variables if i <= j]
-    lines = []
-    for k, name in enumerate(features):
+    def line(k: int, name: str) -> dict[str, Column]:
         g = place[name]
-        fields = {"feature": F.lit(name), "n": F.col(f"n_{g}"), "xx": F.col(f"x{k}")}
+        fields = {"n": F.col(f"n_{g}"), "xx": F.col(f"x{k}")}
         fields |= {f"x{i}": F.col(f"x{k}_{i}") for i in variables}
-        fields |= {f"o{i}_{j}": F.col(f"o{i}_{j}_{g}") for i, j in pairs}
-        lines.append(F.struct(*[value.alias(label) for label, value in fields.items()]))
-    table = table.select("series_id", F.explode(F.array(*lines)).alias("_")).select("series_id", "_.*").where("n > 0")
+        return fields | {f"o{i}_{j}": F.col(f"o{i}_{j}_{g}") for i in variables for j in variables if i <= j}
+
+    return _coefficients(table, {name: line(k, name) for k, name in enumerate(features)}, len(own))
+
+
+def _coefficients(table: DataFrame, lines: dict[str, dict[str, Column]], n_own: int) -> DataFrame:
+    """Raw and partial coefficients of every feature from sums of products of average ranks.
+
+    ``lines`` has for each feature its row count ``n``, its own square ``xx``, its products ``x0``...
+    with the residual (0) and the controls, and the products ``o0_0``... among those. Ranks of n
+    rows have mean (n + 1) / 2.
+    """
+    variables = range(n_own)
+    pairs = [(i, j) for i in variables for j in variables if i <= j]
+    cells = [
+        F.struct(F.lit(name).alias("feature"), *[value.alias(label) for label, value in fields.items()])
+        for name, fields in lines.items()
+    ]
+    table = table.select("series_id", F.explode(F.array(*cells)).alias("_")).select("series_id", "_.*").where("n > 0")
 
     centre = F.col("n") * ((F.col("n") + 1) / F.lit(2.0)) * ((F.col("n") + 1) / F.lit(2.0))
     spread = {"x": F.col("xx") - centre} | {f"o{i}": F.col(f"o{i}_{i}") - centre for i in variables}
@@ -279,16 +296,94 @@ def rank_correlations(
     )
 
 
+def day_ranks(days: DataFrame, features: list[str], controls: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """``date`` with the rank columns of a day table, and the null pattern of every feature.
+
+    Features of pattern g have ranks ``_x{k}``, the controls ``_o{i}_{g}``, among the days on which
+    controls and feature are there. The table has at most the days of the calendar.
+    """
+    patterns = null_patterns(days, features, controls)
+    place = {name: g for g, group in enumerate(patterns) for name in group}
+    cells = {f"_x{k}": (name, place[name]) for k, name in enumerate(features)}
+    cells |= {f"_o{i}_{g}": (name, g) for g in range(len(patterns)) for i, name in enumerate(controls, 1)}
+    long = None
+    for g, group in enumerate(patterns):
+        there = days.dropna(subset=[group[0], *controls]).withColumn("_g", F.lit(g))
+        part = melt(there, ["date", "_g"], [*group, *controls], "_name", "_value")
+        long = part if long is None else long.unionByName(part)
+    ranked = rank_average(long, ["_g", "_name"], "_value", "_rank")
+    wide = ranked.groupBy("date").agg(
+        *[F.max(F.when((F.col("_g") == g) & (F.col("_name") == name), F.col("_rank"))).alias(c) for c, (name, g) in cells.items()]
+    )
+    return materialise(wide, "day-ranks"), place
+
+
+def rank_correlations_by_day(
+    rows: DataFrame, days: DataFrame, features: list[str], controls: list[str], max_days: int, column: str = "residual"
+) -> DataFrame:
+    """As ``rank_correlations`` where features and controls are those of the day, for complete series.
+
+    A complete series has a residual on every day of ``days``, so its ranks of features and controls
+    are those of the day table: they are taken there once, and their products among each other with
+    them. Each series adds one sort of its residuals, one broadcast join with at most ``max_days``
+    rows, and the products of its ranks. A series with a day missing, twice or without a residual
+    raises; ``rank_correlations`` takes such ones.
+    """
+    days = materialise(days.select("date", *features, *controls).coalesce(1), "days")
+    ranks, place = day_ranks(days, features, controls)
+    sets = sorted(set(place.values()))
+    variables = range(1, len(controls) + 1)
+    first = {g: f"_x{k}" for k, name in reversed(list(enumerate(features))) for g in [place[name]]}
+
+    def product(a: str, b: str) -> Column:
+        return F.sum(F.col(a) * F.col(b))
+
+    sums = {"_days": F.count("*")} | {f"n_{g}": F.count(first[g]) for g in sets}
+    sums |= {f"o{i}_{j}_{g}": product(f"_o{i}_{g}", f"_o{j}_{g}") for g in sets for i in variables for j in variables if i <= j}
+    for k, name in enumerate(features):
+        sums |= {f"x{k}_{i}": product(f"_x{k}", f"_o{i}_{place[name]}") for i in variables}
+        sums[f"x{k}"] = product(f"_x{k}", f"_x{k}")
+    # days that count for no feature keep a row of nulls, so that a complete series shows as such
+    ranks = days.select("date").join(small_side(ranks, max_days), "date", "left")
+    fixed = ranks.agg(*[total.alias(label) for label, total in sums.items()]).first().asDict()
+
+    joined = rows.select("series_id", "date", column).join(small_side(ranks, max_days), "date")
+    joined = joined.withColumns({f"_m{g}": F.col(first[g]).isNotNull().cast("int") for g in sets})
+    joined = joined.withColumns({f"_o0_{g}": masked_rank(column, f"_m{g}") for g in sets})
+    own = {"_days": F.count(column), "_rows": F.count("*")}
+    own |= {f"o0_0_{g}": product(f"_o0_{g}", f"_o0_{g}") for g in sets}
+    own |= {f"o0_{i}_{g}": product(f"_o0_{g}", f"_o{i}_{g}") for g in sets for i in variables}
+    own |= {f"x{k}_0": product(f"_x{k}", f"_o0_{place[name]}") for k, name in enumerate(features)}
+    table = joined.groupBy("series_id").agg(*[total.alias(label) for label, total in own.items()])
+    complete = (F.col("_days") == fixed["_days"]) & (F.col("_rows") == fixed["_days"])
+    table = table.withColumn(
+        "series_id", F.when(complete, F.col("series_id")).otherwise(F.raise_error(F.lit("a series has not every day")))
+    )
+
+    def line(k: int, name: str) -> dict[str, Column]:
+        g = place[name]
+        known = {"n": f"n_{g}", "xx": f"x{k}"} | {f"x{i}": f"x{k}_{i}" for i in variables}
+        known |= {f"o{i}_{j}": f"o{i}_{j}_{g}" for i in variables for j in variables if i <= j}
+        fields = {label: F.lit(fixed[source]) for label, source in known.items()}
+        return fields | {"x0": F.col(f"x{k}_0")} | {f"o0_{i}": F.col(f"o0_{i}_{g}") for i in [0, *variables]}
+
+    return _coefficients(table, {name: line(k, name) for k, name in enumerate(features)}, len(controls) + 1)
+
+
 def partial_spearman(
     rows: DataFrame, features: list[str], controls: list[str], column: str = "residual", q: float = FDR_Q
 ) -> DataFrame:
     """The coefficients with p-values and the false-discovery decision within each series."""
-    table = rank_correlations(rows, features, controls, column)
+    return correlation_tests(rank_correlations(rows, features, controls, column), len(controls), q)
+
+
+def correlation_tests(table: DataFrame, n_controls: int, q: float = FDR_Q) -> DataFrame:
+    """P-values of both coefficients and the false-discovery decision within each series."""
     dof = F.col("n").cast("double") - 2.0
     tested = table.withColumns(
         {
             "p_raw": correlation_p(F.col("spearman_raw"), dof),
-            "p_partial": correlation_p(F.col("spearman_partial"), dof - float(len(controls))),
+            "p_partial": correlation_p(F.col("spearman_partial"), dof - float(n_controls)),
         }
     ).withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in ("p_raw", "p_partial")})
     return bh_adjust(tested, ["series_id"], "p_partial", "feature", q)

@@ -152,14 +152,22 @@ def period7_ratio(ws: Workspace) -> DataFrame:
     return rounded(spectra.period7_ratio(spectra.periodogram(ws.stage1_like)), 5)
 
 
-def exog_rows(ws: Workspace) -> DataFrame:
-    """Residual rows with exogenous features and annual terms of their day.
+def exog_correlations(ws: Workspace) -> DataFrame:
+    """Rank correlations of the residual with the exogenous features of its day, net of the season.
 
     The terms are rounded, so that equal phases of the year tie in the ranks.
     """
-    with_exog = P.attach_calendar(ws.stage1_like, features.exog_features(ws.exog, T.EXOG), ws.span)
-    rows_ = ws.with_days(with_exog, ANNUAL_TERMS)
-    return rows_.withColumns({c: F.round(c, 9) for c in ANNUAL_TERMS})
+    exog = features.exog_features(ws.exog, T.EXOG).drop("series_id")
+    terms = ws.days.select("date", *[F.round(c, 9).alias(c) for c in ANNUAL_TERMS])
+    first, last = ws.bounds.val[0], ws.bounds.test[1]
+    days = terms.where(F.col("date").between(first, last)).join(exog, "date", "left")
+    return spectra.rank_correlations_by_day(
+        ws.stage1_like, days, EXOG_FEATURES, ANNUAL_TERMS, (last - first).days + 1
+    )
+
+
+def exog_tests(ws: Workspace) -> DataFrame:
+    return spectra.correlation_tests(exog_correlations(ws), len(ANNUAL_TERMS))
 
 
 def _partial_sql() -> str:
@@ -210,7 +218,7 @@ def _partial_sql() -> str:
 )
 def rank_correlations(ws: Workspace) -> DataFrame:
     """Raw and partial Spearman coefficients of the residual with every exogenous feature."""
-    return rounded(spectra.rank_correlations(exog_rows(ws), EXOG_FEATURES, ANNUAL_TERMS), 5)
+    return rounded(exog_correlations(ws), 5)
 
 
 def _tested_sql() -> str:
@@ -219,9 +227,10 @@ def _tested_sql() -> str:
     return f"""{_partial_sql()}, sides AS (
         SELECT series_id, feature, false AS net, n, raw AS r FROM s4
         UNION ALL SELECT series_id, feature, true, n, y_x FROM s4),
-        steps AS (SELECT *, {dof} - 1 AS power, asin(abs(r)) AS low, unnest(range(0, {_STEPS + 1})) AS j FROM sides),
-        tails AS (SELECT series_id, feature, net, least(1, any_value(pi() / 2 - low) / (3.0::DOUBLE * {_STEPS})
-        * sum({_SIMPSON} * pow(greatest(0, cos(low + j * (pi() / 2 - low) / {_STEPS})), power))
+        steps AS (SELECT *, least(pi() / 2 - low, 10 / sqrt(power)) AS width, unnest(range(0, {_STEPS + 1})) AS j
+        FROM (SELECT *, {dof} - 1 AS power, asin(abs(r)) AS low FROM sides)),
+        tails AS (SELECT series_id, feature, net, least(1, any_value(width) / (3.0::DOUBLE * {_STEPS})
+        * sum({_SIMPSON} * pow(greatest(0, cos(low + j * width / {_STEPS})), power))
         * exp(lgamma(any_value(power) / 2.0::DOUBLE + 1) - lgamma(any_value(power) / 2.0::DOUBLE + 0.5)) * 2 / sqrt(pi())) AS p
         FROM steps GROUP BY series_id, feature, net),
         pvalues AS (SELECT series_id, feature, max(p) FILTER (NOT net) AS p_raw, max(p) FILTER (net) AS p_partial
@@ -243,7 +252,7 @@ _EXOG_PARTS = ("resid", "days", "exog_features")
 @query("partial_spearman", twin(f"{_tested_sql()} SELECT {_TESTED_COLUMNS} FROM tested", *_EXOG_PARTS))
 def partial_spearman(ws: Workspace) -> DataFrame:
     """The coefficients with p-values and the false-discovery decision."""
-    return rounded(spectra.partial_spearman(exog_rows(ws), EXOG_FEATURES, ANNUAL_TERMS))
+    return rounded(exog_tests(ws))
 
 
 @query(
@@ -256,7 +265,7 @@ def partial_spearman(ws: Workspace) -> DataFrame:
 )
 def report_top_correlations(ws: Workspace) -> DataFrame:
     return rounded(
-        reports.top_correlations(spectra.partial_spearman(exog_rows(ws), EXOG_FEATURES, ANNUAL_TERMS))
+        reports.top_correlations(exog_tests(ws))
     )
 
 
@@ -338,7 +347,7 @@ def acceptance_verdicts(ws: Workspace) -> DataFrame:
             residuals.weekday_profile(rows_),
             spectra.period7_ratio(spectra.periodogram(rows_)),
             residuals.calendar_group_residuals(rows_),
-            spectra.partial_spearman(exog_rows(ws), EXOG_FEATURES, ANNUAL_TERMS),
+            exog_tests(ws),
         )
     )
 

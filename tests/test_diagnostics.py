@@ -136,8 +136,31 @@ def test_rank_correlations_rank_the_rows_that_count(spark):
         expected = -inverse[0, 1] / np.sqrt(inverse[0, 0] * inverse[1, 1])
         assert row["spearman_partial"] == pytest.approx(expected, abs=1e-9)
     plan = table._jdf.queryExecution().optimizedPlan().toString()
-    first_join = plan.index("Aggregate [series_id")
-    assert "Generate" not in plan[first_join:] and "Expand" not in plan  # rows are not multiplied
+    rows_part = plan[plan.index("Aggregate [series_id") :]
+    assert "Generate" not in rows_part and "Expand" not in plan  # rows are not multiplied
+
+
+def test_rank_correlations_by_day_equal_those_of_the_rows(spark):
+    rng = np.random.default_rng(22)
+    features, controls = ["a", "b", "empty"], ["c0", "c1"]
+    days = [
+        (k, float(rng.integers(9)), None if k % 4 == 0 else float(rng.integers(30)), None, float(k % 17), None if k == 5 else float(k))
+        for k in range(80)
+    ]
+    days = spark.createDataFrame(days, "k int, a double, b double, empty double, c0 double, c1 double")
+    days = days.withColumn("date", F.expr("date_add(date'2024-01-01', k)")).drop("k")
+    rows = [(s, int(k), float(rng.integers(20))) for s in (1, 2, 3) for k in range(80)]
+    rows = spark.createDataFrame(rows, "series_id bigint, k int, residual double")
+    rows = rows.withColumn("date", F.expr("date_add(date'2024-01-01', k)")).drop("k")
+    order = ["series_id", "feature"]
+    got = spectra.rank_correlations_by_day(rows, days, features, controls, 80).orderBy(*order).collect()
+    wanted = spectra.rank_correlations(rows.join(days, "date"), features, controls).orderBy(*order).collect()
+    assert len(got) == 6
+    for a, b in zip(got, wanted, strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-12)
+    gap = rows.where("NOT (series_id = 2 AND date = date'2024-02-01')")
+    with pytest.raises(Exception, match="not every day"):
+        spectra.rank_correlations_by_day(gap, days, features, controls, 80).collect()
 
 
 def test_mad_reads_training_rows_only(make_panel):
