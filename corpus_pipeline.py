@@ -34,8 +34,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 0.8 or more of their five-word shingles alike."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies: SimHash fingerprints in the radius of ``simhash``, or, by an
+    exact check of what lies beyond it, 0.8 or more of their five-word shingles alike."""
+    return near_copies.keep_one(docs, fingerprints=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near copies by exact similarity of five-word shingles, found by a prefix filter in any group size."""
+"""Near copies by exact similarity of five-word shingles, on request beyond the radius of SimHash fingerprints."""
 
 from __future__ import annotations
 
@@ -11,13 +11,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daybook.llm import simhash
 from daybook.llm.components import components
 from daybook.llm.text import as_bytes, slices, stage
 
 WIDTH = 5
 SIMILARITY = 0.8
-# Texts in which the common shingles are looked up; the order of shingles changes no result.
-SAMPLE = 5_000
+# One text in so many is looked up for common shingles; the order of shingles changes no result. A fixed
+# share finds keys from the same number of members on, whatever the number of texts.
+SHARE = 10
+# Common shingles every task knows: 16 MB.
+COMMON = 1_000_000
 # Keys of at most so many members are compared in all pairs at once.
 SMALL_KEY = 16
 # Rounds in which one member of each larger key meets all others, before what is left is compared.
@@ -62,9 +66,8 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat)], ["gram"])
 
-    share = max(1, -(-docs.count() // SAMPLE))
-    some = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(share)) == 0).select("text").mapInArrow(run, "gram long")
-    held = some.groupBy("gram").count().where("count > 2").orderBy(F.desc("count"), "gram").limit(100_000).toArrow()
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(SHARE)) == 0).select("text").mapInArrow(run, "gram long")
+    held = some.groupBy("gram").count().where("count > 2").orderBy(F.desc("count"), "gram").limit(COMMON).toArrow()
     grams = held.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(grams)
     return grams[order], held.column("count").to_numpy()[order]
@@ -192,11 +195,32 @@ def _across(tied: DataFrame, sizes: DataFrame) -> DataFrame:
     return left.join(right, ["k", "x", "y"]).where(F.col("component") < F.col("its"))
 
 
-def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def _fingerprint_links(read: DataFrame, marks: DataFrame) -> DataFrame:
+    """``a, b``: links among the sets of shingles whose texts have SimHash fingerprints in the radius.
+
+    A set stands for all texts that have it. Each set links to the least set of each of its
+    fingerprints, and the least sets of near fingerprints link to each other.
+    """
+    prints = simhash.fingerprints(read.select(F.col("text_id").alias("doc_id"), "text"))
+    named = marks.select("text_id", "s").distinct()
+    held = prints.withColumnRenamed("doc_id", "text_id").distinct().join(named, "text_id").select("fp", "s").distinct()
+    held = stage(held, "prints")
+    least = stage(held.groupBy("fp").agg(F.min("s").alias("least")), "fingerprints")
+    same = held.join(least, "fp").where("s <> least").select(F.col("least").alias("a"), F.col("s").alias("b"))
+    found = simhash.near_links(least.select("fp"))
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"s_{c}")) for c in "ab"]
+    near = found.join(ends[0], "a").join(ends[1], "b").where("s_a <> s_b")
+    return stage(same.unionByName(near.select(F.col("s_a").alias("a"), F.col("s_b").alias("b"))), "alike")
+
+
+def groups(
+    docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, fingerprints: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_id, s`` of every row, and ``s, component`` of the sets that link to others.
 
-    Texts link if the Jaccard similarity of their sets of shingles is ``similarity`` or more; texts
-    without words are all alike. Every linked pair shares a key of the prefix filter. Keys of few
+    With ``fingerprints`` texts link if their SimHash fingerprints lie in the radius of ``simhash``. Beyond
+    it, or without, texts link if the Jaccard similarity of their sets of shingles is ``similarity`` or more;
+    texts without words are all alike. Every pair of the similarity shares a key of the prefix filter. Keys of few
     members are compared in all pairs. In each larger one a member meets all others, round by round;
     members of one component need no comparison any more, so a group of near copies takes pairs
     linear in its size. After the rounds, all pairs that still lie in different components are compared.
@@ -218,7 +242,14 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
         return stage(_verified(stage(pairs.distinct(), "pairs"), sets, similarity), "near")
 
     few = met.join(_side(sizes.where(F.col("members") <= SMALL_KEY).select("k")), "k")
-    links = components(near(few.join(_other(few), "k").where("s < b")))
+    if fingerprints:
+        alike = components(_fingerprint_links(read, marks))
+        few = few.join(alike.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+        apart = few.join(_other(few, "component").withColumnRenamed("component", "its"), "k").where("component <> its")
+        found = near(apart.where("s < b"))
+        links = components(alike.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+    else:
+        links = components(near(few.join(_other(few), "k").where("s < b")))
     large = met.join(_side(sizes.where(F.col("members") > SMALL_KEY).select("k")), "k")
     for number in range(ROUNDS + 1):
         tied = large.join(links.withColumnRenamed("node", "s"), "s", "left")
@@ -244,13 +275,15 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
     return marks.select("doc_id", "text_id", "s"), links.withColumnRenamed("node", "s")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(
+    docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, fingerprints: bool = False
+) -> DataFrame:
     """The documents with one row left of each group of near copies: that of the smallest doc_id.
 
     Of repeated rows with that doc_id and text one stays. Rows without a doc_id are kept as they are,
     since they cannot be named.
     """
-    marks, tied = groups(docs, width, similarity)
+    marks, tied = groups(docs, width, similarity, fingerprints)
     least = marks.where("doc_id IS NOT NULL").groupBy("s").agg(F.min(F.struct("doc_id", "text_id")).alias("least"))
     least = least.join(tied, "s", "left").groupBy(F.coalesce("component", "s")).agg(F.min("least").alias("least"))
     kept = least.select(F.col("least.doc_id").alias("_doc"), F.col("least.text_id").alias("_text"))

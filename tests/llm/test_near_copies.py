@@ -71,3 +71,25 @@ def test_pipeline_stage_drops_a_copy_with_one_changed_word(spark):
 def test_rows_of_one_doc_id_are_judged_by_text(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "d e f"), (1, "a b c")], "doc_id long, text string")
     assert sorted(r.text for r in near_copies.keep_one(docs).collect()) == ["a b c", "d e f"]
+
+
+def test_texts_of_near_fingerprints_link_beyond_the_shingle_similarity(spark):
+    from daybook.llm import simhash
+
+    rng = random.Random(11)
+    fresh = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(5)]
+    # repeats count in a fingerprint but not in a set: a long refrain outweighs what differs
+    refrain = " ".join(["to be or"] * 300)
+    texts = [*fresh[:3], f"{refrain} {fresh[3]}", f"{refrain} {fresh[4]}", None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    alike = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert alike[4] == 3 and len(shingles(texts[3]) & shingles(texts[4])) < 0.8 * len(shingles(texts[3]) | shingles(texts[4]))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 1, 2, 3, 5]
+
+
+def test_common_shingles_are_found_from_the_same_count_on_at_any_size(spark):
+    rows = [(i, f"one two three four five x{i}a x{i}b x{i}c x{i}d x{i}e") for i in range(400)]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    padded = few.unionByName(spark.range(20_000).selectExpr("id + 1000 AS doc_id", "concat('y', id, ' z', id) AS text"))
+    least = {frozenset(near_copies._common(docs, 5)[0].tolist()) for docs in (few, padded)}
+    assert len(least) == 1 and len(min(least)) == 1
