@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from daybook.constants import FDR_Q, LJUNG_BOX_LAGS, MAX_LAG, NORMAL_975
@@ -16,6 +18,9 @@ from daybook.operators.panel import KEYS, by_series
 from daybook.operators.scores import bh_adjust, rank_average
 from daybook.session import materialise, small_side
 
+#: Series whose spectra a task holds as arrays at one time.
+SERIES_AT_A_TIME = 256
+
 
 def acf_arrays(rows: DataFrame, column: str = "residual", max_lag: int = MAX_LAG) -> DataFrame:
     """Series length and the biased autocorrelations of lags 1..max_lag as one array per series.
@@ -116,18 +121,29 @@ def ljung_box(rows: DataFrame, column: str = "residual", lags: list[int] = LJUNG
     return table.withColumn("lb_pvalue", chi_square_tail(F.col("lb_stat"), F.col("lag").cast("double")))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _power(values: pd.Series) -> pd.Series:
-    """One-sided density of each demeaned array, the zero frequency left out."""
+def _density(x: np.ndarray) -> np.ndarray:
+    """One-sided density of a demeaned array, the zero frequency left out."""
+    power = np.abs(np.fft.rfft(x - x.mean())) ** 2 / x.size
+    last = -1 if x.size % 2 == 0 else None
+    power[1:last] *= 2.0
+    return power[1:]
 
-    def density(x: np.ndarray) -> np.ndarray:
-        x = np.asarray(x, float)
-        power = np.abs(np.fft.rfft(x - x.mean())) ** 2 / x.size
-        last = -1 if x.size % 2 == 0 else None
-        power[1:last] *= 2.0
-        return power[1:]
 
-    return values.map(density)
+def _powers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``series_id, n, power`` of ``series_id, n, x``, a few series at a time.
+
+    A batch holds as many series as Spark sends, so only slices of it are turned into arrays and sent back.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, SERIES_AT_A_TIME):
+            piece = batch.slice(start, SERIES_AT_A_TIME)
+            lists = piece.column("x")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            found = [_density(x) for x in np.split(flat, ends[:-1])]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            power = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([piece.column("series_id"), piece.column("n"), power], ["series_id", "n", "power"])
 
 
 def periodogram(rows: DataFrame, column: str = "residual") -> DataFrame:
@@ -138,9 +154,9 @@ def periodogram(rows: DataFrame, column: str = "residual") -> DataFrame:
     """
     ordered = F.sort_array(F.collect_list(F.struct("date", F.col(column).cast("double").alias("x"))))
     series = rows.groupBy("series_id").agg(ordered.alias("s")).where(F.size("s") > 1)
-    powers = series.select(
-        "series_id", F.size("s").alias("n"), _power(F.transform("s", lambda p: p["x"])).alias("power")
-    )
+    values = series.select("series_id", F.size("s").alias("n"), F.transform("s", lambda p: p["x"]).alias("x"))
+    kind = dict(rows.dtypes)["series_id"]
+    powers = values.mapInArrow(_powers, f"series_id {kind}, n int, power array<double>")
     total = F.aggregate("power", F.lit(0.0), lambda s, v: s + v)
     bins = powers.withColumn("total", total).select(
         "series_id", "n", "total", F.posexplode("power").alias("_k", "power")
