@@ -111,8 +111,16 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum(), carried: Column | None
     rows = docs.count()
     buckets = max(1, -(-rows // plan.bucket_rows))
     head = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
-    sized = sized.withColumn("bucket", F.floor(head * buckets / F.lit(1 << 32)).cast("long"))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    # the parts of a null-safe key, so that the join below finds the rows where the window has put them
+    place = ["named", "nameless", "bucket"]
+    sized = sized.withColumns(
+        {
+            "bucket": F.floor(head * buckets / F.lit(1 << 32)).cast("long"),
+            "named": F.coalesce(F.col("source").cast("string"), F.lit("")),
+            "nameless": F.col("source").isNull(),
+        }
+    )
+    sums = sized.groupBy("source", *place).agg(F.sum("size").alias("bucket_size"))
     sums = stage(sums, "buckets")
     sources = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), plan)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,14 +128,11 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum(), carried: Column | None
     offsets = offsets.drop("bucket_size").withColumnRenamed("source", "its_source")
     offsets = offsets.join(
         sources.withColumnRenamed("source", "name"), F.col("its_source").eqNullSafe(F.col("name"))
-    ).drop("name")
-    queue = Window.partitionBy("source", "bucket").orderBy(
+    ).drop("name", "its_source")
+    queue = Window.partitionBy(*place).orderBy(
         F.col("mark"), F.col("doc_id").asc_nulls_first(), "size"
     ).rowsBetween(Window.unboundedPreceding, 0)
-    queued = sized.withColumn("up_to", F.sum("size").over(queue)).join(
-        offsets.withColumnRenamed("bucket", "its_bucket"),
-        F.col("source").eqNullSafe(F.col("its_source")) & (F.col("bucket") == F.col("its_bucket")),
-    )
+    queued = sized.withColumn("up_to", F.sum("size").over(queue)).join(offsets, place)
     middle = F.col("offset") + F.col("up_to") - F.col("size") / 2
     once = (middle <= F.col("target")) & (F.col("size") > 0)
     again = once & (middle + F.col("source_size") <= F.col("target"))
