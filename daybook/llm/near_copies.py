@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from daybook.llm import simhash
 from daybook.llm.components import components
 from daybook.llm.text import as_bytes, slices, stage
+from daybook.session import discard
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -272,6 +273,7 @@ def groups(
             found = near(_across(tied, unlike))
         if not found.isEmpty():
             links = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+    discard(sets)  # longer than the texts, and all pairs have been verified
     return marks.select("doc_id", "text_id", "s"), links.withColumnRenamed("node", "s")
 
 
