@@ -38,6 +38,7 @@ def test_the_queries_search_the_whole_grid(spark, rows, monkeypatch):
     ws = SimpleNamespace(spark=spark, pooled=rows, residuals=rows, feature_names=["feat_a"], holdout_from=START)
     whole = trees.grid(TREE_GRID)
     assert asked(lambda: Workspace.tuned.func(ws), monkeypatch, trees, "chrono_grid_search", 2) == whole
+    assert asked(lambda: Workspace.residual_params.func(ws), monkeypatch, trees, "chrono_grid_search", 2) == whole
 
 
 def test_a_fit_in_one_task_is_the_fit_whose_rows_are_spread(rows):
