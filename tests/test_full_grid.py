@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 from daybook.constants import TREE_GRID
-from daybook.models import trees
+from daybook.models import studies, trees
 from daybook.models.boosting import split_points
+from daybook.plans import queries_learning
 from daybook.plans.workspace import Workspace
 
 START = dt.date(2024, 1, 1)
@@ -39,6 +40,8 @@ def test_the_queries_search_the_whole_grid(spark, rows, monkeypatch):
     whole = trees.grid(TREE_GRID)
     assert asked(lambda: Workspace.tuned.func(ws), monkeypatch, trees, "chrono_grid_search", 2) == whole
     assert asked(lambda: Workspace.residual_params.func(ws), monkeypatch, trees, "chrono_grid_search", 2) == whole
+    monkeypatch.setattr(queries_learning, "groups_of", lambda _: {"feat_a": "calendar"})
+    assert asked(lambda: queries_learning.block_ablation(ws), monkeypatch, studies, "block_ablation", 2) == whole
 
 
 def test_a_fit_in_one_task_is_the_fit_whose_rows_are_spread(rows):
