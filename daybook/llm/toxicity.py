@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.text import stage
+from daybook.session import scratch_path
 
 # The chain, in order: junk, texts that hold words of the toxic ones, toxic texts.
 CATEGORIES = ("low_quality", "abusive", "toxic")
@@ -90,7 +91,10 @@ def _fit(rows: DataFrame, label: str, earlier: list[str], settings: Settings) ->
     learner = LogisticRegression(
         labelCol=label, maxIter=settings.iterations, regParam=settings.penalty, standardization=False
     )
-    return learner.fit(joined.select("features", label))
+    # the summary of a fit holds the session, which can not be sent to tasks once it has observed a frame
+    path = scratch_path(rows.sparkSession, "category")
+    learner.fit(joined.select("features", label)).write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def _cutoff(held: DataFrame, name: str, settings: Settings) -> float:
